@@ -123,10 +123,36 @@ def match_range(catalog: DataFrame, field: str, low=None, high=None) -> DataFram
 
 
 def match_fuzzy(index: TextIndex, term: str, max_edits: int = 2) -> DataFrame:
-    """Documents with a term at most ``max_edits`` insertions, deletions or replacements away."""
-    term = term.lower()
-    near = lambda t: F.levenshtein(t, F.lit(term), max_edits) >= 0
-    return _ids(index.lookup(near))
+    """Documents with a term at most ``max_edits`` (0 to 2) edits away.
+
+    An edit is an insertion, deletion or replacement of a character, or a swap of two neighbours.
+    """
+    return _ids(index.lookup(lambda t: within_edits(t, term.lower(), max_edits)))
+
+
+def within_edits(column: Column, word: str, max_edits: int) -> Column:
+    """Edit distance test with neighbour swaps, out of plain edit distances.
+
+    A swap leaves its two letters side by side, so what is left to edit lies
+    before or after them; two swaps give one of a few fixed words.
+    """
+    if max_edits not in (0, 1, 2):
+        raise ValueError("max_edits must be 0, 1 or 2")
+    near = F.levenshtein(column, F.lit(word), max_edits) >= 0
+    places = [i for i in range(len(word) - 1) if word[i] != word[i + 1]]
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2:]
+    if max_edits and places:
+        near = near | column.isin(*(swap(word, i) for i in places))
+    if max_edits == 2:
+        twice = [swap(swap(word, i), j) for i in places for j in places if j > i + 1]
+        near = near | column.isin(*twice) if twice else near
+        for i in places:
+            before, pair, after = word[:i], word[i + 1] + word[i], word[i + 2:]
+            tail = F.substring(column, len(before) + 3, 2**31 - 1)
+            head = F.substring(column, F.lit(1), F.length(column) - len(after) - 2)
+            near = near | (column.startswith(before + pair) & (F.levenshtein(tail, F.lit(after), 1) >= 0))
+            near = near | (column.endswith(pair + after) & (F.levenshtein(head, F.lit(before), 1) >= 0))
+    return near
 
 
 def match_phrase(index: TextIndex, words: str | list[str], slop: int = 0) -> DataFrame:

@@ -58,7 +58,8 @@ CHANGES = """
 SELECT e.event_id AS seq, e.ts, d.path,
  CASE e.event_type WHEN 'error' THEN 'unlink' WHEN 'view' THEN 'change' ELSE 'add' END AS op,
  e.event_type
-FROM events e JOIN catalog_paths d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events) e
+JOIN catalog_paths d ON d.doc_id = e.doc_id
 """
 
 

@@ -40,7 +40,7 @@ def rows_of(table: pa.Table) -> tuple[list[tuple[str, str]], list[tuple]]:
 def difference(df, con, sql: str) -> str | None:
     """None if both sides agree, else what differs first."""
     left_kinds, left = rows_of(df.toArrow())
-    right_kinds, right = rows_of(con.execute(sql).to_arrow_table())
+    right_kinds, right = rows_of(con.sql(sql).to_arrow_table())
     if left_kinds != right_kinds:
         return f"schema {left_kinds} != {right_kinds}"
     if len(left) != len(right):
