@@ -13,6 +13,7 @@ from doccat.functions import paths as P
 from doccat.functions import props as B
 from doccat.functions import text as X
 from doccat.operators.sync import upsert_documents
+from doccat.session import spread
 
 
 def stamp(df: DataFrame, as_of: Column | None = None, origin: str | Column | None = None,
@@ -88,7 +89,7 @@ def import_documents(files: DataFrame, extractor: Callable[[Column], Column] | N
     ``error``; ``convert`` and ``ocr`` flag those an external tool should see.
     """
     content, text = F.col("content"), F.col("contents")
-    flagged = files.withColumns(
+    flagged = spread(files, "path").withColumns(
         {
             "convert": P.needs_conversion(F.col("path")),
             "ocr": B.needs_ocr(F.col("extracted")),

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.functions.text import tokens
+from doccat.functions.text import TOKEN_PATTERN, tokens
+from doccat.session import spread
 
 N_BUCKETS = 32
+POSTINGS = (
+    "id string, term string, tf int, n_terms int, positions array<int>, n_buckets int, field string, bucket int"
+)
+STATS = "id string, n_terms int, field string"
 Predicate = Callable[[Column], Column]
 
 
@@ -40,7 +45,8 @@ def build_postings(texts: DataFrame, field: str = "contents", keep: Predicate |
         ),
     )
     return (
-        texts.select("id", tokens(F.col(field)).alias("_tokens"))
+        spread(texts.select("id", field), "id")
+        .select("id", tokens(F.col(field)).alias("_tokens"))
         .select("id", F.size("_tokens").alias("n_terms"), F.sort_array(pairs).alias("_sorted"))
         .withColumn("_starts", starts)
         .select("id", "n_terms", F.inline(runs))
@@ -50,9 +56,8 @@ def build_postings(texts: DataFrame, field: str = "contents", keep: Predicate |
 
 def doc_stats(texts: DataFrame, field: str = "contents") -> DataFrame:
     """Length of each text in terms; one row for every document that has any text."""
-    return texts.select("id", F.lit(field).alias("field"), F.size(tokens(F.col(field))).alias("n_terms")).where(
-        "n_terms > 0"
-    )
+    filled = spread(texts.select("id", field), "id").where(F.col(field).rlike(TOKEN_PATTERN))
+    return filled.select("id", F.lit(field).alias("field"), F.size(tokens(F.col(field))).alias("n_terms"))
 
 
 def refresh_postings(postings: DataFrame, texts: DataFrame, removed: DataFrame | None = None,
@@ -100,8 +105,8 @@ class TextIndex:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, field: str = "contents") -> TextIndex:
-        postings = spark.read.parquet(f"{path}/postings").where(F.col("field") == field)
-        return cls(postings=postings, stats=spark.read.parquet(f"{path}/stats").where(F.col("field") == field), field=field)
+        stored = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("field") == field)
+        return cls(postings=stored(POSTINGS, "postings"), stats=stored(STATS, "stats"), field=field)
 
     def lookup(self, keep: Predicate, terms: list[str] | None = None) -> DataFrame:
         """Postings whose term passes ``keep``; exact ``terms``, if known, prune the buckets."""

@@ -202,6 +202,7 @@ def match_bool(must: tuple[DataFrame, ...] = (), should: tuple[DataFrame, ...] =
     """
     if not must and not should:
         raise ValueError("a query needs something to look for")
+    should = () if must else should  # beside a must they only add to scores
     clauses = [*must, *should, *must_not]
     tagged = [ids.select("id", F.lit(k).alias("_clause")) for k, ids in enumerate(clauses)]
     merged = tagged[0]
@@ -209,9 +210,7 @@ def match_bool(must: tuple[DataFrame, ...] = (), should: tuple[DataFrame, ...] =
         merged = merged.unionByName(t)
     n_must, n_wanted = len(must), len(must) + len(should)
     hit = [F.max(F.when(F.col("_clause") == k, 1).otherwise(0)) for k in range(len(clauses))]
-    needed = sum(hit[:n_must], F.lit(0)) == n_must
-    if not must:
-        needed = needed & (sum(hit[:n_wanted], F.lit(0)) >= 1)
+    needed = sum(hit[:n_wanted], F.lit(0)) >= (n_must or 1)
     banned = sum(hit[n_wanted:], F.lit(0))
     return merged.groupBy("id").agg((needed & (banned == 0)).alias("_ok")).where("_ok").select("id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -34,3 +34,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="doccat-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Give every core a share of a small input before heavy work on its rows.
+
+    A small file is one row group and so one task. Inputs that plan to more than
+    16 MB per core have enough row groups and are left as they are.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    planned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(planned)) > cores * SPREAD_BYTES_PER_CORE:
+        return df
+    return df.repartition(cores, *key)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doccat.operators.sync import latest, live
 
 FULL, DELTA = "full", "delta"
-COMMIT = "version bigint, kind string, writer string, batch_id bigint"
+COMMIT = "version bigint, kind string, writer string, batch_id bigint, schema string"
 
 
 class CatalogStore:
@@ -25,7 +28,7 @@ class CatalogStore:
         self._data, self._commits = f"{self.path}/data", f"{self.path}/commits"
 
     def log(self) -> DataFrame:
-        """All commits: ``version, kind, writer, batch_id``; empty before the first."""
+        """All commits: ``version, kind, writer, batch_id, schema``; empty before the first."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._commits)
         files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not files.exists(hadoop):
@@ -51,34 +54,35 @@ class CatalogStore:
         version += 1
         data = rows.drop("version", "last_batch_id").withColumn("last_batch_id", F.lit(batch_id).cast("bigint"))
         data.write.mode("overwrite").parquet(f"{self._data}/version={version}")
-        commit = self.spark.createDataFrame([(version, kind, writer, batch_id)], COMMIT)
+        commit = self.spark.createDataFrame([(version, kind, writer, batch_id, data.schema.json())], COMMIT)
         commit.coalesce(1).write.mode("append").json(self._commits)
         return version
 
     def read(self, tombstones: bool = False) -> DataFrame:
         """The catalogue as of the last commit; removed documents only if asked for."""
         log = self.log()
-        full = log.where(F.col("kind") == FULL).agg(F.max("version")).first()[0]
-        if full is None:
+        full = log.where(F.col("kind") == FULL).agg(F.max("version")).scalar()
+        commits = sorted(log.where(F.col("version") >= full).collect(), key=lambda r: r.version)
+        if not commits:
             raise FileNotFoundError(f"no catalogue under {self.path}")
-        later = sorted(r.version for r in log.where(F.col("version") > full).select("version").collect())
-        rows = self._version(full)
+        base, *later = [self._version(r.version, r.schema) for r in commits]
+        rows = base
         if later:
-            changed = self._version(later[0])
-            for version in later[1:]:
-                changed = changed.unionByName(self._version(version), allowMissingColumns=True)
+            changed = later[0]
+            for delta in later[1:]:
+                changed = changed.unionByName(delta, allowMissingColumns=True)
             if len(later) > 1:
                 changed = latest(changed, "id", "version")
-            rows = rows.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+            rows = base.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
         return rows if tombstones else live(rows)
 
     def compact(self) -> int:
         """Write the current state as a full version, tombstones included."""
         return self.write(self.read(tombstones=True), FULL)
 
-    def _version(self, version: int) -> DataFrame:
-        stored = self.spark.read.parquet(f"{self._data}/version={version}")
-        return stored.withColumn("version", F.lit(version).cast("bigint"))
+    def _version(self, version: int, schema: str) -> DataFrame:
+        stored = self.spark.read.schema(T.StructType.fromJson(json.loads(schema)))
+        return stored.parquet(f"{self._data}/version={version}").withColumn("version", F.lit(version).cast("bigint"))
 
 
 def write_catalog(df: DataFrame, path: str) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doccat.functions.text import decode_text, html_to_text, trim_space
+from doccat.session import spread
 
 
 def extract_text(docs: DataFrame, column: str, html: bool = False) -> DataFrame:
     """Add trimmed ``contents`` from bytes or text, taking HTML apart if asked."""
-    source = F.col(column)
+    docs, source = spread(docs), F.col(column)
     text = decode_text(source) if isinstance(docs.schema[column].dataType, T.BinaryType) else source
     return docs.withColumn("contents", html_to_text(text) if html else trim_space(text))
 
