@@ -11,7 +11,8 @@ from doccat.operators.postings import TextIndex
 from doccat.plans import inputs as I
 from doccat.plans.registry import QUERIES
 from doccat.session import local_session, shared_folder
-from doccat.sources.catalog import FULL, CatalogStore
+from doccat.sources.catalog import CatalogStore
+from doccat.sources.commits import FULL
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from doccat.functions.text import TOKEN_PATTERN, tokens
 from doccat.session import spread
+from doccat.sources.commits import DELTA, FULL, Commits
 
 N_BUCKETS = 32
 POSTINGS = (
-    "id string, term string, tf int, n_terms int, positions array<int>, n_buckets int, field string, bucket int"
+    "id string, term string, tf int, n_terms int, positions array<int>, "
+    "version bigint, n_buckets int, field string, bucket int"
 )
-STATS = "id string, n_terms int, field string"
+STATS = "id string, n_terms int, version bigint, field string"
+REPLACED = "id string, version bigint"
 Predicate = Callable[[Column], Column]
 
 
@@ -98,15 +101,36 @@ class TextIndex:
 
     @classmethod
     def write(cls, texts: DataFrame, path: str, field: str = "contents", n_buckets: int = N_BUCKETS) -> TextIndex:
-        spark = texts.sparkSession
-        write_postings(build_postings(texts, field), f"{path}/postings", n_buckets)
-        doc_stats(texts, field).write.mode("overwrite").partitionBy("field").parquet(f"{path}/stats")
-        return cls.read(spark, path, field)
+        """Store the index of all ``texts`` as a full version."""
+        _store(texts, None, path, FULL, field, n_buckets)
+        return cls.read(texts.sparkSession, path, field)
+
+    @classmethod
+    def append(cls, texts: DataFrame, path: str, removed: DataFrame | None = None, field: str = "contents",
+               n_buckets: int = N_BUCKETS, writer: str | None = None, batch_id: int | None = None) -> TextIndex:
+        """Add or replace ``texts`` and drop the ``removed`` ids, writing no more than these."""
+        _store(texts, removed, path, DELTA, field, n_buckets, writer, batch_id)
+        return cls.read(texts.sparkSession, path, field)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, field: str = "contents") -> TextIndex:
-        stored = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("field") == field)
-        return cls(postings=stored(POSTINGS, "postings"), stats=stored(STATS, "stats"), field=field)
+        """The stored index. Rows of an id that a later version replaced are left out of every lookup."""
+        commits = Commits(spark, f"{path}/commits").current()
+        if not commits:
+            raise FileNotFoundError(f"no index under {path}")
+
+        def stored(schema: str, name: str) -> DataFrame:
+            folders = [f"{path}/{name}/version={r.version}" for r in commits]
+            return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders)
+
+        postings, stats = stored(POSTINGS, "postings"), stored(STATS, "stats")
+        if len(commits) > 1:
+            newest = stored(REPLACED, "replaced").groupBy("id").agg(F.max("version").alias("version"))
+            outdated = lambda df: (df["id"] == newest["id"]) & (df["version"] < newest["version"])
+            postings = postings.join(newest, outdated(postings), "left_anti")
+            stats = stats.join(newest, outdated(stats), "left_anti")
+        this_field = F.col("field") == field
+        return cls(postings=postings.where(this_field), stats=stats.where(this_field), field=field)
 
     def lookup(self, keep: Predicate, terms: list[str] | None = None) -> DataFrame:
         """Postings whose term passes ``keep``; exact ``terms``, if known, prune the buckets."""
@@ -124,3 +148,16 @@ class TextIndex:
     def terms(self, terms: list[str]) -> DataFrame:
         lowered = sorted({t.lower() for t in terms})
         return self.lookup(lambda t: t.isin(*lowered), lowered)
+
+
+def _store(texts: DataFrame, removed: DataFrame | None, path: str, kind: str, field: str, n_buckets: int,
+           writer: str | None = None, batch_id: int | None = None) -> None:
+    commits = Commits(texts.sparkSession, f"{path}/commits")
+    if commits.applied(writer, batch_id):
+        return
+    version = commits.last() + 1
+    write_postings(build_postings(texts, field), f"{path}/postings/version={version}", n_buckets)
+    doc_stats(texts, field).write.mode("overwrite").partitionBy("field").parquet(f"{path}/stats/version={version}")
+    replaced = texts.select("id") if removed is None else texts.select("id").union(removed.select("id"))
+    replaced.write.mode("overwrite").parquet(f"{path}/replaced/version={version}")
+    commits.add(version, kind if version else FULL, field, writer, batch_id)

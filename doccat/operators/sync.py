@@ -132,9 +132,19 @@ def settle(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def fresher(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows not overtaken by a later event the catalogue has already seen."""
-    seen = catalog.where(F.col("last_ts").isNotNull()).select(
-        "id", F.col("last_ts").alias("_ts"), F.col("last_seq").alias("_seq")
+    seen = known_rows(catalog.where(F.col("last_ts").isNotNull()), incoming).select(
+        "id", F.col("last_ts").cast("timestamp").alias("_ts"), F.col("last_seq").alias("_seq")
     )
-    ts, known = F.col("last_ts").cast("timestamp"), F.col("_ts").cast("timestamp")
+    ts, known = F.col("last_ts").cast("timestamp"), F.col("_ts")
     later = (ts > known) | ((ts == known) & (F.col("last_seq") >= F.col("_seq")))
-    return incoming.join(seen, "id", "left").where(F.col("_ts").isNull() | later).drop("_ts", "_seq")
+    return incoming.join(seen, "id", "left").where(known.isNull() | later).drop("_ts", "_seq")
+
+
+def known_rows(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Catalogue rows of the incoming ids.
+
+    Put before an outer join with the catalogue: Spark may broadcast a small
+    batch to this filter, but never the outer side of the join itself, so a
+    small batch does not shuffle the catalogue.
+    """
+    return catalog.join(incoming.select("id"), "id", "left_semi")

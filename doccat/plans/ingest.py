@@ -11,7 +11,7 @@ from doccat.config import Settings
 from doccat.functions import paths as P
 from doccat.functions.metadata import checksum
 from doccat.operators.metadata import import_documents
-from doccat.operators.sync import live
+from doccat.operators.sync import known_rows, live
 
 
 def with_ids(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -27,7 +27,7 @@ def pending(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
     One left join on id decides both; unchanged files go no further.
     """
-    known = live(catalog).select("id", F.col("checksum").alias("_known"), F.lit(True).alias("_seen"))
+    known = known_rows(live(catalog), files).select("id", F.col("checksum").alias("_known"), F.lit(True).alias("_seen"))
     joined = files.join(known, "id", "left")
     changed = F.col("_known").isNotNull() & (F.col("checksum").isNull() | (F.col("checksum") != F.col("_known")))
     return joined.where(F.col("_seen").isNull() | changed).drop("_known", "_seen")

@@ -16,7 +16,8 @@ from doccat.operators.metadata import derive_metadata
 from doccat.operators.postings import TextIndex
 from doccat.plans.ingest import with_ids
 from doccat.session import shared_folder
-from doccat.sources.catalog import FULL, CatalogStore
+from doccat.sources.catalog import CatalogStore
+from doccat.sources.commits import FULL
 
 SETTINGS = Settings(inbox="inbox", manual="manualcheck")
 AS_OF = "2024-02-29T12:30:45Z"

@@ -243,6 +243,7 @@ ORACLES["refresh_postings"] = f"""WITH {FILES}, {TOKENS}, n AS (SELECT id, count
 SELECT id, term, CAST(count(*) AS INTEGER) AS tf, CAST(any_value(n_terms) AS INTEGER) AS n_terms FROM tokens JOIN n USING (id)
  WHERE id NOT IN (SELECT id FROM labelled) GROUP BY id, term
 UNION ALL SELECT id, unnest(['quality', 'is', CAST(quality AS VARCHAR)]), CAST(1 AS INTEGER), CAST(3 AS INTEGER) FROM labelled WHERE toxic = 0"""
+ORACLES["append_postings"] = f"SELECT * FROM ({ORACLES['refresh_postings']}) r WHERE term IN ('quality', 'the', 'is')"
 ORACLES["match_terms"] = f"WITH {FILES}, {TOKENS} SELECT DISTINCT id FROM tokens WHERE term IN ('the', 'und')"
 ORACLES["match_terms_unindexed"] = ORACLES["match_terms"]
 ORACLES["match_bool"] = _search(rf"""SELECT id FROM catalog WHERE id IN {_having('the')} AND id NOT IN {_having('with')}

@@ -387,18 +387,26 @@ def build_postings_conversations(spark, sf):
 @query
 def refresh_postings(spark, sf):
     """Labelled documents get a new text, toxic ones go."""
-    texts, labels = I.texts(spark, sf), _labelled(spark, sf)
-    changed = labels.where("toxic = 0").select("id", F.concat_ws(" ", F.lit("Quality is"), "quality").alias("contents"))
-    gone = labels.where("toxic = 1").select("id")
-    return OP.refresh_postings(OP.build_postings(texts), changed, gone).select("id", "term", "tf", "n_terms")
+    changed, gone = _relabelled(spark, sf)
+    after = OP.refresh_postings(OP.build_postings(I.texts(spark, sf)), changed, gone)
+    return after.select("id", "term", "tf", "n_terms")
 
 
-def _rows(spark, sf) -> DataFrame:
-    return I.stored(spark, sf)[0]
+def _relabelled(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """New texts for the labelled documents, and the toxic ones as removed."""
+    labels = _labelled(spark, sf)
+    text = F.concat_ws(" ", F.lit("Quality is"), "quality")
+    return labels.where("toxic = 0").select("id", text.alias("contents")), labels.where("toxic = 1").select("id")
 
 
-def _index(spark, sf) -> OP.TextIndex:
-    return I.stored(spark, sf)[1]
+@query
+def append_postings(spark, sf):
+    """A stored index after a later version: what it now finds."""
+    path = shared_folder(spark, "index")
+    OP.TextIndex.write(I.texts(spark, sf), path)
+    changed, gone = _relabelled(spark, sf)
+    found = OP.TextIndex.append(changed, path, gone).terms(["quality", "the", "is"])
+    return found.select("id", "term", "tf", "n_terms")
 
 
 @query

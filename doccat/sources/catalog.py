@@ -8,81 +8,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doccat.operators.sync import latest, live
-
-FULL, DELTA = "full", "delta"
-COMMIT = "version bigint, kind string, writer string, batch_id bigint, schema string"
+from doccat.operators.sync import live
+from doccat.sources.commits import DELTA, FULL, Commits
 
 
 class CatalogStore:
-    """Catalogue rows under ``path/data/version=N`` and one commit row for each finished version.
+    """Catalogue rows under ``path/data/version=N``, finished versions under ``path/commits``.
 
     A version is either the full catalogue or only the rows that changed, so a
     small batch writes little. Readers take the last full version and lay the
-    later ones over it, newest row of an id first. A version whose job died has
-    no commit row and is never read. One writer at a time.
+    later ones over it, newest row of an id first.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._data, self._commits = f"{self.path}/data", f"{self.path}/commits"
-
-    def log(self) -> DataFrame:
-        """All commits: ``version, kind, writer, batch_id, schema``; empty before the first."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._commits)
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
-            return self.spark.createDataFrame([], COMMIT)
-        return self.spark.read.schema(COMMIT).json(self._commits)
+        self.commits = Commits(spark, f"{self.path}/commits")
 
     def version(self) -> int:
-        """The last committed version, -1 before the first."""
-        return self.log().agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
-
-    def applied(self, writer: str, batch_id: int) -> bool:
-        return not self.log().where((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).isEmpty()
+        return self.commits.last()
 
     def write(self, rows: DataFrame, kind: str = DELTA, writer: str | None = None, batch_id: int | None = None) -> int:
-        """Store ``rows`` as the next version and commit it.
-
-        A batch this ``writer`` has already committed is left out.
-        """
+        """Store ``rows`` as the next version; a batch this ``writer`` has finished before is left out."""
         version = self.version()
-        if writer is not None and batch_id is not None and self.applied(writer, batch_id):
+        if self.commits.applied(writer, batch_id):
             return version
         kind = kind if version >= 0 else FULL
         version += 1
         data = rows.drop("version", "last_batch_id").withColumn("last_batch_id", F.lit(batch_id).cast("bigint"))
-        data.write.mode("overwrite").parquet(f"{self._data}/version={version}")
-        commit = self.spark.createDataFrame([(version, kind, writer, batch_id, data.schema.json())], COMMIT)
-        commit.coalesce(1).write.mode("append").json(self._commits)
+        data.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
+        self.commits.add(version, kind, data.schema.json(), writer, batch_id)
         return version
 
     def read(self, tombstones: bool = False) -> DataFrame:
         """The catalogue as of the last commit; removed documents only if asked for."""
-        log = self.log()
-        full = log.where(F.col("kind") == FULL).agg(F.max("version")).scalar()
-        commits = sorted(log.where(F.col("version") >= full).collect(), key=lambda r: r.version)
+        commits = self.commits.current()
         if not commits:
             raise FileNotFoundError(f"no catalogue under {self.path}")
-        base, *later = [self._version(r.version, r.schema) for r in commits]
+        base, *later = [self._rows(r.version, r.detail) for r in commits]
         rows = base
         if later:
             changed = later[0]
             for delta in later[1:]:
                 changed = changed.unionByName(delta, allowMissingColumns=True)
-            if len(later) > 1:
-                changed = latest(changed, "id", "version")
+            if len(later) > 1:  # the winners are found on two columns, so readers still read only what they ask for
+                newest = changed.groupBy("id").agg(F.max("version").alias("version"))
+                changed = changed.join(newest, ["id", "version"], "left_semi")
             rows = base.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
         return rows if tombstones else live(rows)
 
+    def changed_in(self, version: int) -> DataFrame:
+        """The rows one version brought."""
+        detail = self.commits.log().where(F.col("version") == version).first().detail
+        return self._rows(version, detail)
+
     def compact(self) -> int:
         """Write the current state as a full version, tombstones included."""
         return self.write(self.read(tombstones=True), FULL)
 
-    def _version(self, version: int, schema: str) -> DataFrame:
+    def _rows(self, version: int, schema: str) -> DataFrame:
         stored = self.spark.read.schema(T.StructType.fromJson(json.loads(schema)))
-        return stored.parquet(f"{self._data}/version={version}").withColumn("version", F.lit(version).cast("bigint"))
+        return stored.parquet(f"{self.path}/data/version={version}").withColumn("version", F.lit(version).cast("bigint"))
 
 
 def write_catalog(df: DataFrame, path: str) -> DataFrame:

@@ -75,6 +75,24 @@ def test_refresh_equals_rebuild(spark, texts):
     assert sorted(map(str, got.collect())) == sorted(map(str, build_postings(after).collect()))
 
 
+def test_appended_index_equals_a_rebuilt_one(spark, texts):
+    path = shared_folder(spark, "index")
+    TextIndex.write(texts, path, n_buckets=3)
+    changed = spark.createDataFrame([("d001", "the new words"), ("new", "the end")], "id string, contents string")
+    gone = spark.createDataFrame([("d002",)], "id string")
+    again = spark.createDataFrame([("new", "the very end"), ("d002", "")], "id string, contents string")
+    TextIndex.append(changed, path, gone, n_buckets=3)
+    index = TextIndex.append(again, path, n_buckets=7, writer="w", batch_id=0)
+    repeated = TextIndex.append(again, path, n_buckets=7, writer="w", batch_id=0)
+    after = texts.where(~F.col("id").isin("d001", "d002")).unionByName(changed.where("id = 'd001'")).unionByName(again)
+    for stored in (index, repeated):
+        for words in ("the", "end new", "abc"):
+            assert ids(Q.match_terms(stored, words)) == ids(Q.match_terms(TextIndex(after), words))
+        assert ids(Q.match_all(stored)) == ids(Q.match_all(TextIndex(after)))
+        score = lambda i: {r.id: r.score for r in Q.score_bm25(i, "the end").collect()}
+        assert score(stored) == pytest.approx(score(TextIndex(after)))
+
+
 def test_bucket_pruning(spark, texts):
     stored = TextIndex.write(texts, shared_folder(spark, "index"))
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")

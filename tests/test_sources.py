@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doccat.config import CATALOG_SCHEMA, Settings
+from doccat.operators import search as Q
+from doccat.operators.postings import TextIndex
 from doccat.operators.sync import sync_plan
 from doccat.plans.ingest import with_checksums, with_ids
 from doccat.sources import catalog as C
@@ -159,7 +161,7 @@ def test_write_catalog(spark, tmp_path):
 
 def ingest(spark, root, store, checkpoint, settings):
     files = SF.without_properties(SF.stream_files(spark, root))
-    SG.stream_ingest(files, store, checkpoint, settings=settings).awaitTermination()
+    SG.stream_ingest(files, store, checkpoint, settings=settings, index_path=store.path + "/index").awaitTermination()
 
 
 def test_ingest_add_edit_remove(spark, root, tmp_path):
@@ -176,6 +178,9 @@ def test_ingest_add_edit_remove(spark, root, tmp_path):
     put(root, "s/new.txt", b"fresh")
     ingest(spark, root, store, checkpoint, settings)
     assert store.read().where("loc = 's/new.txt'").first().contents == "fresh"
+    index = TextIndex.read(spark, store.path + "/index")
+    assert Q.documents(store.read(), Q.match_terms(index, "fresh")).first().loc == "s/new.txt"
+    assert Q.match_all(index).count() == 5
 
     # a new checkpoint replays every file; the catalogue already knows them
     version = store.version()
