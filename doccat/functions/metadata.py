@@ -15,7 +15,7 @@ from doccat.config import (
     Settings,
 )
 from doccat.functions.paths import basename, extension, parent_name, stem
-from doccat.functions.props import first
+from doccat.functions.props import first, first_of
 from doccat.functions.text import trim_space
 
 
@@ -62,7 +62,7 @@ def leading_date(path: Column) -> Column:
 
 def document_date(props: Column, path: Column) -> Column:
     """Given date, else the one in front of the file name, else the first creation date property."""
-    found = F.coalesce(*(first(props, key) for key in CREATION_DATE_KEYS))
+    found = first_of(props, CREATION_DATE_KEYS)
     return F.coalesce(first(props, "date"), F.when(has_leading_date(path), leading_date(path)).otherwise(found))
 
 

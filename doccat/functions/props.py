@@ -23,6 +23,15 @@ def first(props: Column, key: str) -> Column:
     return F.nullif(F.get(values(props, key), 0), F.lit(""))
 
 
+def first_of(props: Column, keys: tuple[str, ...]) -> Column:
+    """The first non-empty value under the first key that has one.
+
+    A lookup per key inside a lambda keeps the generated code small enough to be compiled.
+    """
+    found = F.transform(F.array(*(F.lit(k) for k in keys)), lambda k: F.get(F.try_element_at(props, k), 0))
+    return F.get(F.filter(found, lambda v: v.isNotNull() & (v != "")), 0)
+
+
 def has_meta(props: Column, key: str, needle: str) -> Column:
     """Substring test on a single-valued property; null where there is none."""
     return F.coalesce(scalar(props, key), scalar(props, key.replace(":", "_", 1))).contains(needle)

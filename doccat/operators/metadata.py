@@ -50,7 +50,7 @@ def derive_metadata(files: DataFrame, as_of: Column | None = None, origin: str |
         "loc": P.location(P.strip_scheme(path), settings),
         "date_text": M.document_date(bag, path),
         "title": M.resolve_title(F.get(B.values(bag, "title"), 0), path),
-        "content_type": F.coalesce(B.first(bag, "Content-Type"), B.first(bag, "Content-type")),
+        "content_type": B.first_of(bag, ("Content-Type", "Content-type")),
     }
     for i, name in enumerate(settings.concern_fields, start=1):
         fields[name] = F.when(match.isNotNull(), M.person_field(match, i, settings)).otherwise(B.first(bag, name))

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from doccat.config import SPACE_CLASS, Settings
 from doccat.functions import paths as P
 
-_MARK = "\u0001"
+_MARK = "\u0001"  # parts the captures; no file name holds it
 
 
-def _captures(stem: Column, pattern: str, groups: int) -> Column:
-    """Whole match and captures of the leftmost match, in one regex pass."""
-    wanted = _MARK.join(f"${i}" for i in range(1, groups + 2))
-    return F.split(F.regexp_replace(stem, rf"\A(?s:.*?)({pattern})(?s:.*)\z", wanted), _MARK)
+def _read_by(rule: int, read: Column, pattern: str, groups: int) -> Column:
+    """The rule's number, its whole match and its captures, if no earlier rule has read the name."""
+    wanted = _MARK.join([str(rule), *(f"${i}" for i in range(1, groups + 2))])
+    taken = F.regexp_replace(read, rf"\A(?s:.*?)({pattern})(?s:.*)\z", wanted)
+    return F.when(F.contains(read, F.lit(_MARK)), read).otherwise(taken)
 
 
 def _concern_part(part: Column) -> Column:
@@ -27,27 +28,29 @@ def _concern_part(part: Column) -> Column:
 def route_inbox(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Add ``rule`` (0-based, null if none fits) and ``placed``, the path below the root.
 
-    Staged so that each regex runs once per row: first the rule, then its
-    captures, then the parts, then the name.
+    Staged so that each regex runs at most once per row: one step per rule,
+    then the parts, then the name.
     """
-    stem, rule, captures = F.col("_stem"), F.col("rule"), F.col("_captures")
-    meanings = [meaning.split(",") for _, meaning in settings.rules]
+    return _route(files, P.stem(F.col("path")), settings)
+
 
-    which = F.lit(None).cast("int")
-    for i in reversed(range(len(settings.rules))):
-        which = F.when(stem.rlike(settings.rules[i][0]), i).otherwise(which)
-    found = F.lit(None).cast("array<string>")
-    for i, (pattern, _) in reversed(list(enumerate(settings.rules))):
-        found = F.when(rule == i, _captures(stem, pattern, len(meanings[i]))).otherwise(found)
+def _route(files: DataFrame, name_read: Column, settings: Settings) -> DataFrame:
+    rule, captures = F.col("rule"), F.col("_captures")
+    meanings = [meaning.split(",") for _, meaning in settings.rules]
+    staged = files.withColumn("_read", name_read)
+    for i, (pattern, _) in enumerate(settings.rules):
+        staged = staged.withColumn("_read", _read_by(i, F.col("_read"), pattern, len(meanings[i])))
+    staged = staged.withColumn(
+        "_captures", F.when(F.contains("_read", F.lit(_MARK)), F.split("_read", _MARK))
+    ).withColumn("rule", F.get(captures, 0).cast("int"))
 
     def capture(field: str) -> Column:
         value = F.lit(None).cast("string")
         for i, meaning in enumerate(meanings):
             if field in meaning:
-                value = F.when(rule == i, F.get(captures, meaning.index(field) + 1)).otherwise(value)
+                value = F.when(rule == i, F.get(captures, meaning.index(field) + 2)).otherwise(value)
         return value
 
-    staged = files.withColumn("_stem", P.stem(F.col("path"))).withColumn("rule", which).withColumn("_captures", found)
     parts = {f"_{f}": _concern_part(capture(f)) for f in settings.concern_fields}
     staged = staged.withColumns(
         {
@@ -60,7 +63,7 @@ def route_inbox(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     staged = staged.withColumns(
         {
             "_folder": F.concat_ws("_", *parts),
-            "_name": F.coalesce(F.nullif(F.concat_ws("_", "_date", "_title"), F.lit("")), F.get(captures, 0)),
+            "_name": F.coalesce(F.nullif(F.concat_ws("_", "_date", "_title"), F.lit("")), F.get(captures, 1)),
         }
     )
     folder = F.col("_folder")
@@ -76,7 +79,7 @@ def route_plan(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     in_inbox = P.parent_name(F.col("path")) == settings.inbox
     placed = F.col("placed")
     manual = F.concat(F.lit(settings.manual + "/"), P.basename(F.col("path")))
-    routed = route_inbox(files, settings)
+    routed = _route(files, F.when(in_inbox, P.stem(F.col("path"))), settings)  # no name is read outside the inbox
     return routed.withColumns(
         {
             "action": F.when(~in_inbox, "index").when(placed.isNotNull(), "move").otherwise("manual"),

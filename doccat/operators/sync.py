@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.config import Settings
 from doccat.functions import metadata as M
 
 
