@@ -153,7 +153,7 @@ class TextIndex:
 def _store(texts: DataFrame, removed: DataFrame | None, path: str, kind: str, field: str, n_buckets: int,
            writer: str | None = None, batch_id: int | None = None) -> None:
     commits = Commits(texts.sparkSession, f"{path}/commits")
-    if commits.applied(writer, batch_id):
+    if commits.finished(writer, batch_id) is not None:
         return
     version = commits.last() + 1
     write_postings(build_postings(texts, field), f"{path}/postings/version={version}", n_buckets)

@@ -170,7 +170,7 @@ def index_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         .when(F.col("doc_id") % 7 == 0, F.reverse("checksum"))
         .otherwise(F.col("checksum")),
     )
-    gone = paths(spark, sf_dir).where("doc_id < 20").select(
+    gone = paths(spark, sf_dir).where("doc_id % 50 = 0").select(
         "doc_id", F.concat(F.lit("/gone"), "path").alias("path"), text_hash.alias("checksum")
     )
     return on_disk, known.unionByName(with_ids(gone, SETTINGS))

@@ -40,7 +40,7 @@ TOKENS = r"""tokens AS (SELECT id, unnest(list) AS term, generate_subscripts(lis
 STATE = f"""{FILES}, on_disk AS (SELECT md5(path) AS id, doc_id, path, md5(text) AS checksum FROM catalog_paths),
  known AS (SELECT id, doc_id, path, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN reverse(checksum)
   ELSE checksum END AS checksum FROM on_disk WHERE doc_id % 5 <> 0
-  UNION ALL SELECT md5('/gone' || path), doc_id, '/gone' || path, checksum FROM on_disk WHERE doc_id < 20)"""
+  UNION ALL SELECT md5('/gone' || path), doc_id, '/gone' || path, checksum FROM on_disk WHERE doc_id % 50 = 0)"""
 BM25 = """stats AS (SELECT id, count(*) AS n_terms FROM tokens GROUP BY id),
  totals AS (SELECT count(*) AS n, avg(n_terms) AS avg_terms FROM stats),
  tfs AS (SELECT id, term, count(*) AS tf FROM tokens WHERE term IN ({terms}) GROUP BY id, term),

@@ -28,10 +28,11 @@ class CatalogStore:
         return self.commits.last()
 
     def write(self, rows: DataFrame, kind: str = DELTA, writer: str | None = None, batch_id: int | None = None) -> int:
-        """Store ``rows`` as the next version; a batch this ``writer`` has finished before is left out."""
+        """Store ``rows`` as the next version and give its number; a batch this ``writer`` has finished keeps its own."""
+        done = self.commits.finished(writer, batch_id)
+        if done is not None:
+            return done
         version = self.version()
-        if self.commits.applied(writer, batch_id):
-            return version
         kind = kind if version >= 0 else FULL
         version += 1
         data = rows.drop("version", "last_batch_id").withColumn("last_batch_id", F.lit(batch_id).cast("bigint"))

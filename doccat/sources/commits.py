@@ -35,11 +35,12 @@ class Commits:
         full = log.where(F.col("kind") == FULL).agg(F.max("version")).scalar()
         return sorted(log.where(F.col("version") >= full).collect(), key=lambda r: r.version)
 
-    def applied(self, writer: str | None, batch_id: int | None) -> bool:
-        """Whether this writer has finished this batch before."""
+    def finished(self, writer: str | None, batch_id: int | None) -> int | None:
+        """The version this writer has already finished for this batch."""
         if writer is None or batch_id is None:
-            return False
-        return not self.log().where((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).isEmpty()
+            return None
+        same = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+        return self.log().where(same).agg(F.max("version")).first()[0]
 
     def add(self, version: int, kind: str, detail: str = "", writer: str | None = None, batch_id: int | None = None) -> None:
         row = self.spark.createDataFrame([(version, kind, writer, batch_id, detail)], SCHEMA)

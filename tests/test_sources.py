@@ -149,7 +149,9 @@ def test_a_batch_is_applied_once(spark, tmp_path):
     store.write(rows(spark, ("1", "a", None)), writer="w", batch_id=0)
     assert store.write(rows(spark, ("1", "again", None)), writer="w", batch_id=0) == 0
     assert store.write(rows(spark, ("1", "other", None)), writer="v", batch_id=0) == 1
+    assert store.write(rows(spark, ("1", "again", None)), writer="w", batch_id=0) == 0
     assert seen(store) == {"1": "other"}
+    assert [r.title for r in store.changed_in(0).collect()] == ["a"]
 
 
 def test_write_catalog(spark, tmp_path):
