@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.llm import decontaminate, langid, mixture, rans
+from doccat.llm import decontaminate, langid, mixture, oddsketch, rans
 from doccat.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op3_token_files(spark, sf):
     return rans.tokenised(table(spark, sf, "documents"))
 
 
+@query
+def op5_minhash_odd_sketch(spark, sf):
+    return oddsketch.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op6_language_id(spark, sf):
     return langid.language_id(table(spark, sf, "documents"))
