@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doccat.llm import decontaminate, langid, mixture, oddsketch, rans
+from doccat.llm import decontaminate, langid, mixture, oddsketch, rans, secretscan, severity
 from doccat.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +24,23 @@ def query(fn: Query) -> Query:
     return run
 
 
+@query
+def op1_secret_owners(spark, sf):
+    """Sources own what they publish; a source's languages stand for its repositories."""
+    owner, repo = F.col("source"), F.concat_ws("/", "source", "lang")
+    return secretscan.digest(secretscan.scan(table(spark, sf, "documents"), owner, repo))
+
+
 @query
 def op3_token_files(spark, sf):
     return rans.tokenised(table(spark, sf, "documents"))
 
 
+@query
+def op4_toxic_severity(spark, sf):
+    return severity.severity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op5_minhash_odd_sketch(spark, sf):
     return oddsketch.near_duplicates(table(spark, sf, "documents"))
