@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import decontaminate, langid, mixture, oddsketch, rans, secretscan, severity
+from doccat.llm import anchors, decontaminate, langid, mixture, oddsketch, rans, secretscan, severity
 from doccat.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op8_decontaminate(spark, sf):
     return decontaminate.digest(found)
 
 
+@query
+def op9_fixed_block_anchors(spark, sf):
+    return anchors.repeats_removed(table(spark, sf, "documents"))
+
+
 @query
 def op10_mixture(spark, sf):
     return mixture.mix(table(spark, sf, "documents"))
