@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccat.llm.blobs import (
-    BUCKET_BYTES, bucket_cuts, copies, gathered, id_array, ids_of, pack, pack_sorted, unpack, unpack_sorted,
+    ANSWERS, BUCKET_BYTES, answers, bucket_cuts, by_document, copies, gathered, groups_of, ids_of, pack, pack_sorted, unpack, unpack_sorted,
 )
 from doccat.llm.common import row_key, row_of, slices, stored, task_count, text_of, utf8
 from doccat.llm.hashing import Words, windows
-from doccat.llm.oddsketch import groups_of
 
 WINDOW = 35
 
@@ -86,7 +85,7 @@ def probes(docs: DataFrame, n_buckets: int, block: int) -> DataFrame:
     return docs.mapInArrow(compute, PROBES)
 
 
-def flagged_blocks(probed: DataFrame) -> DataFrame:
+def flagged_blocks(probed: DataFrame, n_buckets: int) -> DataFrame:
     """``doc_id, key, blocks``: numbers of the blocks whose words some other place has too."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +98,7 @@ def flagged_blocks(probed: DataFrame) -> DataFrame:
             value, weight = value[order], weight[order]
             heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             total = np.add.reduceat(weight.astype(np.int64), heads)
-            repeated = value[heads][total > 1]
+            repeated, found = value[heads][total > 1], []
             for r in rows:
                 index = np.frombuffer(r["blocks"], np.uint32)
                 if not len(index) or not len(repeated):
@@ -109,21 +108,12 @@ def flagged_blocks(probed: DataFrame) -> DataFrame:
                 if not len(hit):
                     continue
                 owner, number = unpack(r["owners"], np.uint32)[hit], unpack(r["numbers"], np.uint32)[hit]
-                order = np.argsort(owner, kind="stable")
-                owner, number = owner[order], number[order]
-                used, first = np.unique(owner, return_index=True)
-                ends = np.append(first, len(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        id_array(np.frombuffer(r["ids"], np.int64)[used]), pa.array(np.frombuffer(r["keys"], np.int64)[used]),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number, pa.int32())),
-                    ],
-                    names=["doc_id", "key", "blocks"],
-                )
+                found.append((np.frombuffer(r["ids"], np.int64)[owner], np.frombuffer(r["keys"], np.int64)[owner], number))
+            if found:
+                yield answers(*(np.concatenate(x) for x in zip(*found, strict=True)), n_buckets)
 
     dealt = probed.repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(compute, "doc_id long, key long, blocks array<int>")
-    return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    return by_document(dealt.mapInArrow(compute, ANSWERS), "blocks")
 
 
 PLACES = "bucket int, hashes binary, owners binary, places binary, ids binary, keys binary"
@@ -165,7 +155,7 @@ def around(docs: DataFrame, n_buckets: int, window: int, block: int) -> DataFram
     return docs.mapInArrow(compute, PLACES)
 
 
-def repeated_windows(placed: DataFrame) -> DataFrame:
+def repeated_windows(placed: DataFrame, n_buckets: int) -> DataFrame:
     """``doc_id, key, starts``: the windows whose words also start at another place."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +165,7 @@ def repeated_windows(placed: DataFrame) -> DataFrame:
             ordered = np.sort(np.concatenate(parts))
             repeated = ordered[:-1][ordered[1:] == ordered[:-1]]
             repeated = repeated[np.append(True, repeated[1:] != repeated[:-1])] if len(repeated) else repeated
+            found = []
             for r, own in zip(rows, parts, strict=True):
                 if not len(repeated):
                     break
@@ -183,20 +174,12 @@ def repeated_windows(placed: DataFrame) -> DataFrame:
                 if not len(hit):
                     continue
                 owner, place = unpack(r["owners"], np.uint32)[hit], unpack(r["places"], np.uint32)[hit]
-                order = np.argsort(owner, kind="stable")
-                owner, place = owner[order], place[order]
-                used, first = np.unique(owner, return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        id_array(np.frombuffer(r["ids"], np.int64)[used]), pa.array(np.frombuffer(r["keys"], np.int64)[used]),
-                        pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)), pa.int32()), pa.array(place, pa.int32())),
-                    ],
-                    names=["doc_id", "key", "starts"],
-                )
+                found.append((np.frombuffer(r["ids"], np.int64)[owner], np.frombuffer(r["keys"], np.int64)[owner], place))
+            if found:
+                yield answers(*(np.concatenate(x) for x in zip(*found, strict=True)), n_buckets)
 
     dealt = placed.repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(compute, "doc_id long, key long, starts array<int>")
-    return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return by_document(dealt.mapInArrow(compute, ANSWERS), "starts")
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, words: Words, keep: np.ndarray) -> list[bytes]:
@@ -262,12 +245,12 @@ def repeats_removed(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     n_buckets = task_count(docs, "text", BUCKET_BYTES)
     whole = stored(digested(docs, window), "whole")
     same = stored(copies(whole), "copies")
-    flagged = flagged_blocks(probes(docs, n_buckets, block))
+    flagged = flagged_blocks(probes(docs, n_buckets, block), n_buckets)
     alone = flagged.join(same, F.col("key") == F.col("copy_key"), "left").where(F.col("copy_id").isNull() | (F.col("doc_id") == F.col("copy_id")))
     alone = alone.select(F.col("doc_id").alias("id__"), F.col("key").alias("key__"), "blocks", F.col("copy_key").isNotNull().alias("copied"))
     of = F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key") == F.col("key__"))
     texts = stored(docs.join(alone, of).select("doc_id", "key", "text", "blocks", "copied"), "texts")
-    starts = repeated_windows(around(texts, n_buckets, window, block)).select(F.col("doc_id").alias("id__"), F.col("key").alias("key__"), "starts")
+    starts = repeated_windows(around(texts, n_buckets, window, block), n_buckets).select(F.col("doc_id").alias("id__"), F.col("key").alias("key__"), "starts")
     partly = digested(texts.where("not copied").join(starts, of).select("doc_id", "key", "text", "starts"), window)
     partly = partly.distinct().select(
         F.col("doc_id").alias("id__"), F.col("key").alias("key__"), F.col("n_removed").alias("removed__"), F.col("kept_sha256").alias("kept__")

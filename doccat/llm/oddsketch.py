@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doccat.llm.blobs import groups_of
 from doccat.llm.common import arrow_rows, row_key, slices, stored, text_of, utf8
 from doccat.llm.components import components
 from doccat.llm.hashing import LOWER, Words, mix, windows
@@ -124,28 +125,6 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(compute, FEATURES)
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys in sorted batches, each as one table; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_pylist() for k in keys]
-        rows = list(zip(*columns, strict=True))
-        start = 0
-        for i in range(len(rows)):
-            if rows[i] != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, rows[i]
-        held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def forest_of_sketches(fps: list[bytes], sketches: np.ndarray, most: int) -> list[tuple[bytes, bytes]]:
     """Edges that connect what is connected by pairs of at most ``most`` differing bits."""
     edges, left = [], np.arange(len(fps))

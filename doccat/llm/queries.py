@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import anchors, decontaminate, langid, mixture, oddsketch, rans, secretscan, severity
+from doccat.llm import anchors, decontaminate, langid, mixture, oddsketch, phrases, rans, secretscan, severity
 from doccat.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op1_secret_owners(spark, sf):
     return secretscan.digest(secretscan.scan(table(spark, sf, "documents"), owner, repo))
 
 
+@query
+def op2_prefix_free_parsing(spark, sf):
+    return phrases.repeats_removed(table(spark, sf, "documents"))
+
+
 @query
 def op3_token_files(spark, sf):
     return rans.tokenised(table(spark, sf, "documents"))
