@@ -49,10 +49,10 @@ def id_array(doc_id: np.ndarray) -> pa.Array:
     return pa.array(doc_id, pa.int64(), mask=doc_id == NULL_ID)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Iterator[list[pa.RecordBatch]]:
-    """Slices of texts in lists of about ``most`` bytes."""
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES, piece: int = SLICE_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """Texts in slices of about ``piece`` bytes, in lists of about ``most`` bytes."""
     held, size = [], 0
-    for batch in slices(batches):
+    for batch in slices(batches, most=piece):
         held.append(batch)
         size += len(utf8(batch.column("text"))[0])
         if size >= most:

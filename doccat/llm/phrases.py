@@ -36,6 +36,8 @@ from doccat.llm.hashing import BYTE, STEP, mix
 
 WINDOW, GRAM = 50, 24
 SPREAD = WINDOW - GRAM + 1
+#: Text parsed at a time: a dozen numbers of 8 bytes for each of its bytes.
+PARSE_BYTES = 1 << 20
 _BACK = np.uint64(pow(int(STEP), -1, 2**64))
 _tables: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
@@ -59,11 +61,20 @@ class Parse:
         empty = np.zeros(0, np.int64)
         self.lo = self.hi = self.trigger = self.row = empty
         if n >= WINDOW:
+            grams = self.sums[GRAM:] - self.sums[:-GRAM]
+            grams *= self.down[: n - GRAM + 1]
+            least = mix(grams)
+            least &= np.uint64(0xFFFFFFFF00000000)
+            least |= np.arange(len(least), dtype=np.uint64)  # of equal hashes the first counts
+            size = 1
+            while 2 * size <= SPREAD:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            least = np.minimum(least[: n - WINDOW + 1], least[SPREAD - size : n - WINDOW + 1 + SPREAD - size])
+            trigger = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
             starts = np.arange(n - WINDOW + 1)
             row = row_of(offsets)[: len(starts)]
             valid = starts + WINDOW <= offsets[row + 1]
-            low = (self.spans(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1)) >> np.uint64(32)).astype(np.uint32)
-            trigger = starts + np.lib.stride_tricks.sliding_window_view(low, SPREAD).argmin(axis=1)
             starts, row, trigger = starts[valid], row[valid], trigger[valid]
             new = np.ones(len(starts), bool)
             new[1:] = (trigger[1:] != trigger[:-1]) | (row[1:] != row[:-1])
@@ -90,7 +101,7 @@ def parsed(docs: DataFrame, n_buckets: int) -> DataFrame:
     """All phrases as hashes of trigger and content with their places, a row for each bucket of triggers and 16 MB of text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in gathered(batches):
+        for held in gathered(batches, piece=PARSE_BYTES):
             parts, ids, keys, rows = [], [], [], 0
             for batch in held:
                 p = Parse(*utf8(batch.column("text")))
@@ -178,7 +189,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of rows with their texts' bytes and offsets."""
-    for batch in slices(batches, "zipped", 1 << 20):
+    for batch in slices(batches, "zipped", PARSE_BYTES // 3):
         texts = [zstandard.decompress(z) if z else b"" for z in batch.column("zipped").to_pylist()]
         yield batch, *utf8(pa.array(texts, pa.binary()))
 
