@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import anchors, decontaminate, langid, mixture, oddsketch, phrases, rans, secretscan, severity
+from doccat.llm import anchors, decontaminate, flatgraph, langid, mixture, oddsketch, phrases, rans, secretscan, severity
 from doccat.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op6_language_id(spark, sf):
     return langid.language_id(table(spark, sf, "documents"))
 
 
+@query
+def op7_flat_graph(spark, sf):
+    return flatgraph.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query
 def op8_decontaminate(spark, sf):
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
