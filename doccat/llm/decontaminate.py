@@ -53,7 +53,7 @@ class Automaton:
         for item_id, text in items:
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             norm, _, _ = normalised(raw, np.array([0, len(raw)]))
-            words = norm.tobytes().decode("latin-1").split(" ")
+            words = norm[1:].tobytes().decode("latin-1").split(" ")
             words = [w for w in words if w]
             size = min(window, len(words))
             for i in range(len(words) - size + 1 if size else 0):
