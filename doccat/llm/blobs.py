@@ -14,7 +14,7 @@ from doccat.llm.common import SLICE_BYTES, slices, utf8
 from doccat.llm.hashing import mix
 
 #: Text gathered before its records are sorted and sent, and text per bucket of the shuffle.
-GATHER_BYTES = 4 * SLICE_BYTES
+GATHER_BYTES = 16 * 1024 * 1024
 BUCKET_BYTES = 16 * 1024 * 1024
 NULL_ID = -(2**63)
 

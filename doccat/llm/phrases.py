@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from doccat.llm.blobs import (
     ANSWERS, BUCKET_BYTES, answers, bucket_cuts, by_document, copies, gathered, groups_of, ids_of, pack, pack_sorted, unpack, unpack_sorted,
 )
-from doccat.llm.common import row_key, row_of, segment_sums, slices, stored, task_count, text_of, utf8
+from doccat.llm.common import SLICE_BYTES, row_key, row_of, segment_sums, slices, stored, task_count, text_of, utf8
 from doccat.llm.hashing import BYTE, STEP, mix
 
 WINDOW, GRAM = 50, 24
 SPREAD = WINDOW - GRAM + 1
 #: Text parsed at a time: a dozen numbers of 8 bytes for each of its bytes.
-PARSE_BYTES = 1 << 20
+PARSE_BYTES = SLICE_BYTES
 _BACK = np.uint64(pow(int(STEP), -1, 2**64))
 _tables: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 

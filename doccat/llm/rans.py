@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm.common import row_key, shared_path, slices, stored, text_of, utf8
+from doccat.llm.common import SLICE_BYTES, row_key, shared_path, slices, stored, text_of, utf8
 from doccat.llm.hashing import BYTE, STEP, mix, powers
 
 END = 2
@@ -39,7 +39,7 @@ LANES_SMALL = 64
 CHECKPOINT = 64
 BLOCK_IDS = 1 << 20
 LOW = np.uint64(1) << np.uint64(31)
-CACHE = 4_000_000
+CACHE = 2_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -189,7 +189,7 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pack = pieces(path), zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 * SLICE_BYTES):
             found, at = coder.encode(*utf8(batch.column("text")))
             ids = [np.append(found[a:b], np.uint32(END)) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
