@@ -24,6 +24,8 @@ SKETCH_BITS = 512
 #: Estimated similarity from which a pair counts as a candidate: six standard deviations of 128 samples below 0.75.
 CANDIDATE = 0.52
 CELL = 2048
+#: A list of this many ids and hashes takes 32 MB.
+BROADCAST_ROWS = 2_000_000
 CELL_BYTES = 32 * 1024 * 1024
 
 _random = np.random.default_rng(5)
@@ -277,6 +279,18 @@ def links(docs: DataFrame, known: DataFrame, percent: int = PERCENT, cell: int =
     return first.union(stored(confirmed(cells, ["cluster", "block", "chunk"], percent), "links"))
 
 
+def judged(documents: DataFrame, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """``doc_id, key, n, component_id`` of every row."""
+    docs = text_of(documents).select("doc_id", row_key().alias("key"), "text")
+    known = stored(features(docs), "features")
+    label = components(links(docs, known, percent, cell), "components").select(F.col("node").alias("fp"), "component")
+    rows = known.select("doc_id", "key", "n", "fp").join(label, "fp", "left").select("doc_id", "key", "n", F.coalesce("component", "fp").alias("component"))
+    rows = stored(rows, "labelled")
+    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    full = rows.where("n > 0").join(least, "component").select("doc_id", "key", "n", "component_id")
+    return full.unionByName(rows.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id")))
+
+
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``documents``.
 
@@ -285,26 +299,27 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, cell: int = CE
     with a null doc_id link like others but never give a component its id; where
     a component has no other rows its id is null, and they are kept.
     """
-    docs = text_of(documents).select("doc_id", row_key().alias("key"), "text")
-    known = stored(features(docs), "features")
-    label = components(links(docs, known, percent, cell), "components").select(F.col("node").alias("fp"), "component")
-    rows = known.select("doc_id", "n", "fp").join(label, "fp", "left").select("doc_id", "n", F.coalesce("component", "fp").alias("component"))
-    rows = stored(rows, "labelled")
-    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    full = rows.where("n > 0").join(least, "component").select("doc_id", "n", "component_id")
-    out = full.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = judged(documents, percent, cell)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each group, the one of the smallest doc_id, with all its columns.
 
-    Texts without words all stay. Of rows that share the kept doc_id one stays.
+    Texts without words all stay. Of rows that share doc_id and text one stays,
+    whichever it is. The list of what goes is counted: up to ``BROADCAST_ROWS`` rows (16
+    bytes each) it is sent to the texts, beyond that Spark joins as it sees fit.
     """
-    found = stored(near_duplicates(documents), "kept").where("kept")
-    keep = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("keep_rows__")).withColumnRenamed("doc_id", "keep_id__")
-    joined = documents.join(keep, documents["doc_id"].cast("long").eqNullSafe(F.col("keep_id__")))
-    single = joined.where("keep_rows__ = 1 or keep_id__ is null").select(*documents.columns)
-    if keep.where("keep_rows__ > 1 and keep_id__ is not null").isEmpty():
-        return single
-    return single.unionByName(joined.where("keep_rows__ > 1").dropDuplicates(["keep_id__"]).select(*documents.columns))
+    found = stored(judged(documents).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "judged")
+    goes = found.where("not kept").select(F.col("doc_id").alias("goes_id__"), F.col("key").alias("goes_key__")).distinct()
+    goes = stored(goes, "goes")
+    if goes.count() <= BROADCAST_ROWS:
+        goes = F.broadcast(goes)
+    doc_id, key = documents["doc_id"].cast("long"), F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    out = documents.join(goes, doc_id.eqNullSafe(F.col("goes_id__")) & (key == F.col("goes_key__")), "left_anti")
+    several = found.where("kept and n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("more_id__"), F.col("key").alias("more_key__"))
+    several = stored(several.agg(F.count(F.lit(1)).alias("rows__")).where("rows__ > 1").drop("rows__"), "several")
+    if several.isEmpty():
+        return out
+    again = (out["doc_id"].cast("long") == F.col("more_id__")) & (F.xxhash64(F.coalesce(out["text"], F.lit(""))) == F.col("more_key__"))
+    return out.join(several, again, "left_anti").unionByName(out.join(several, again, "left_semi").dropDuplicates(["doc_id", "text"]))
