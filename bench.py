@@ -38,6 +38,7 @@ def timed(action) -> float:
 def main() -> None:
     spark = local_session(CPUS, int(CPUS), "12g")
     spark.sparkContext.setLogLevel("ERROR")
+    I.PARTITIONS = int(CPUS)
 
     def run(name: str) -> None:
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()

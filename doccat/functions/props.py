@@ -71,11 +71,12 @@ def merge_props(extracted: Column, supplied: Column) -> Column:
     return F.map_concat(kept, supplied)
 
 
-def put_all(props: Column, new: dict[str, Column]) -> Column:
-    """Set single-valued properties, dropping what was under their keys; null values are left out."""
-    keys = F.array(*(F.lit(k) for k in new))
+def put_all(props: Column, new: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
+    """Set single-valued properties and ``lists``, dropping what was under their keys; null values are left out."""
+    lists = lists or {}
+    keys = F.array(*(F.lit(k) for k in [*new, *lists]))
     kept = F.map_filter(_or_empty(props), lambda k, v: ~F.array_contains(keys, k))
-    added = F.map_from_arrays(keys, F.array(*(F.array(v) for v in new.values())))
+    added = F.map_from_arrays(keys, F.array(*(F.array(v) for v in new.values()), *lists.values()))
     return F.map_concat(kept, F.map_filter(added, lambda k, v: F.get(v, 0).isNotNull()))
 
 

@@ -40,9 +40,16 @@ def html_to_text(html: Column) -> Column:
     return trim_space(html)
 
 
+#: How PDF, ZIP and Office, PNG, JPEG and gzip files begin, in hexadecimal.
+BINARY_STARTS = ("25504446", "504B0304", "D0CF11E0", "89504E47", "FFD8FF", "1F8B")
+
+
 def decode_text(content: Column) -> Column:
-    """UTF-8 bytes to text; malformed bytes become the replacement character."""
-    return F.make_valid_utf8(content.cast("string"))
+    """UTF-8 bytes to text; malformed bytes become the replacement character, known binary formats and NUL bytes null."""
+    start = F.hex(F.substring(content, 1, 4))
+    binary = F.coalesce(start.rlike(f"^({'|'.join(BINARY_STARTS)})"), F.lit(False))
+    text = F.make_valid_utf8(content.cast("string"))
+    return F.when(~binary & ~text.contains("\0"), text)
 
 
 def lenient_base64(payload: Column) -> Column:

@@ -59,15 +59,14 @@ def derive_metadata(files: DataFrame, as_of: Column | None = None, origin: str |
     put = {
         "dc_title": title,
         "pdf_docinfo_title": title,
-        "Creation-Date": F.when(B.first(bag, "date").isNull(), F.col("date_text")).otherwise(
-            B.first(bag, "Creation-Date")
-        ),
     }
+    # a document with a date keeps all its creation dates
+    created = F.when(B.first(bag, "date").isNull(), F.array("date_text")).otherwise(B.values(bag, "Creation-Date"))
     if_present = {
         key: F.when(B.first(bag, key).isNotNull(), title).otherwise(F.get(B.values(bag, key), 0))
         for key in ("dc:title", "pdf_docinfo:title")
     }
-    return derived.withColumn("props", B.drop(B.put_all(bag, {**put, **if_present}), "title", "date", "concern", "id")).drop(
+    return derived.withColumn("props", B.drop(B.put_all(bag, {**put, **if_present}, {"Creation-Date": created}), "title", "date", "concern", "id")).drop(
         "_person"
     )
 
@@ -82,14 +81,16 @@ def with_text(files: DataFrame, extractor: Callable[[Column], Column] | None = N
 
 def import_documents(files: DataFrame, extractor: Callable[[Column], Column] | None = None,
                      as_of: Column | None = None, origin: str | Column | None = None,
-                     settings: Settings = Settings()) -> DataFrame:
+                     settings: Settings = Settings(), partitions: int | None = None) -> DataFrame:
     """Rows of ``path, content, extracted, supplied`` to catalogue rows with text.
 
     A document that cannot be imported keeps its row with the reason in
-    ``error``; ``convert`` and ``ocr`` flag those an external tool should see.
+    ``error``; ``convert`` and ``ocr`` flag those an external tool should see,
+    which may be without text. ``partitions`` deals the files out anew, for
+    inputs of few row groups; it moves their bytes, so the default leaves them.
     """
     content, text = F.col("content"), F.col("contents")
-    flagged = spread(files, "path").withColumns(
+    flagged = spread(files, partitions, "path").withColumns(
         {
             "convert": P.needs_conversion(F.col("path")),
             "ocr": B.needs_ocr(F.col("extracted")),
@@ -99,7 +100,7 @@ def import_documents(files: DataFrame, extractor: Callable[[Column], Column] | N
         }
     )
     derived = with_text(derive_metadata(flagged, as_of, origin, settings), extractor)
-    return derived.withColumn("error", F.coalesce("error", F.when(text.isNull(), "no text")))
+    return derived.withColumn("error", F.coalesce("error", F.when(text.isNull() & ~F.col("convert") & ~F.col("ocr"), "no text")))
 
 
 def imported(documents: DataFrame) -> DataFrame:
@@ -132,9 +133,15 @@ def patch_value(text: Column) -> Column:
 def patch_metadata(catalog: DataFrame, patches: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Apply ``id, changes map<string,string>`` to catalogue rows and give the whole new catalogue.
 
+    Several patches of one id are merged key by key: the one of the highest
+    ``order`` wins, or of the greatest value if there is no such column.
     Patched rows lose ``version``; with ``texts`` (id, contents) they carry their re-extracted text.
     Unpatched rows are only passed through.
     """
+    order = F.col("order") if "order" in patches.columns else F.lit(0)
+    each = patches.select("id", order.alias("_order"), F.explode("changes").alias("_key", "_value"))
+    last = each.groupBy("id", "_key").agg(F.max(F.struct("_order", "_value")).alias("_last"))
+    patches = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_last._value"))).alias("changes"))
     changes = F.transform_values("changes", lambda k, v: patch_value(v))
     patched = catalog.join(patches.select("id", changes.alias("_changes")), "id")
     kinds = dict(catalog.dtypes)

@@ -21,12 +21,14 @@ REPLACED = "id string, version bigint"
 Predicate = Callable[[Column], Column]
 
 
-def build_postings(texts: DataFrame, field: str = "contents", keep: Predicate | None = None) -> DataFrame:
+def build_postings(texts: DataFrame, field: str = "contents", keep: Predicate | None = None,
+                   partitions: int | None = None) -> DataFrame:
     """``id, field, term, tf, n_terms, positions`` of one text column.
 
     Grouping happens inside each row: tokens are sorted with their positions
     and cut into runs. Nothing is shuffled, whatever the terms' frequencies.
     ``keep`` drops terms before the sort, so a search for few terms is cheap.
+    ``partitions`` deals the texts out first, for inputs of few row groups.
     """
     run = F.col("_sorted")
     pairs = F.transform("_tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
@@ -48,7 +50,7 @@ def build_postings(texts: DataFrame, field: str = "contents", keep: Predicate |
         ),
     )
     return (
-        spread(texts.select("id", field), "id")
+        spread(texts.select("id", field), partitions, "id")
         .select("id", tokens(F.col(field)).alias("_tokens"))
         .select("id", F.size("_tokens").alias("n_terms"), F.sort_array(pairs).alias("_sorted"))
         .withColumn("_starts", starts)
@@ -59,7 +61,7 @@ def build_postings(texts: DataFrame, field: str = "contents", keep: Predicate |
 
 def doc_stats(texts: DataFrame, field: str = "contents") -> DataFrame:
     """Length of each text in terms; one row for every document that has any text."""
-    filled = spread(texts.select("id", field), "id").where(F.col(field).rlike(TOKEN_PATTERN))
+    filled = texts.select("id", field).where(F.col(field).rlike(TOKEN_PATTERN))
     return filled.select("id", F.lit(field).alias("field"), F.size(tokens(F.col(field))).alias("n_terms"))
 
 

@@ -27,6 +27,11 @@ from doccat.operators.postings import TextIndex
 
 # --- predicates on catalogue fields ---------------------------------------
 
+def _kind(field: str) -> str:
+    """The content type stands in the field table under its name with a hyphen."""
+    return "text" if field == "content_type" else FIELD_KINDS.get(field, "string")
+
+
 def field_tokens(catalog: DataFrame, field: str) -> Column:
     """Terms of a text field, single or multi-valued."""
     _check_searchable(field)
@@ -38,7 +43,7 @@ def field_tokens(catalog: DataFrame, field: str) -> Column:
 def field_is(catalog: DataFrame, field: str, value: str) -> Column:
     """Exact and case-sensitive on string fields, any of the terms on text fields."""
     _check_searchable(field)
-    if FIELD_KINDS.get(field, "string") == "text":
+    if _kind(field) == "text":
         terms = _words(value)
         return F.arrays_overlap(field_tokens(catalog, field), F.array(*(F.lit(t) for t in terms)))
     return F.col(field) == value
@@ -50,27 +55,29 @@ def field_prefix(catalog: DataFrame, field: str, prefix: str) -> Column:
     bare = prefix.removesuffix("*")
     if not bare:
         return F.col(field).isNotNull()
-    if FIELD_KINDS.get(field, "string") == "text":
+    if _kind(field) == "text":
         return F.exists(field_tokens(catalog, field), lambda t: t.startswith(bare.lower()))
     return F.col(field).startswith(bare)
 
 
 def field_wildcard(catalog: DataFrame, field: str, glob: str) -> Column:
     _check_searchable(field)
-    if FIELD_KINDS.get(field, "string") == "text":
+    if _kind(field) == "text":
         return F.exists(field_tokens(catalog, field), lambda t: t.rlike(_glob_regex(glob.lower())))
     return F.col(field).rlike(_glob_regex(glob))
 
 
-def field_range(field: str, low=None, high=None) -> Column:
-    """``low`` and ``high`` are inclusive; leave one out for an open end."""
+def field_range(field: str, low=None, high=None, many: bool = False) -> Column:
+    """``low`` and ``high`` are inclusive; leave one out for an open end. Of a multi-valued field some value must fit."""
     _check_searchable(field)
-    inside = F.col(field).isNotNull()
-    if low is not None:
-        inside = inside & (F.col(field) >= F.lit(low))
-    if high is not None:
-        inside = inside & (F.col(field) <= F.lit(high))
-    return inside
+
+    def inside(value: Column) -> Column:
+        fits = value.isNotNull()
+        if low is not None:
+            fits = fits & (value >= F.lit(low))
+        return fits & (value <= F.lit(high)) if high is not None else fits
+
+    return F.exists(field, inside) if many else inside(F.col(field))
 
 
 def concern_pattern(concern: str | None) -> str:
@@ -119,7 +126,8 @@ def match_all(index: TextIndex) -> DataFrame:
 
 
 def match_range(catalog: DataFrame, field: str, low=None, high=None) -> DataFrame:
-    return catalog.where(field_range(field, low, high)).select("id")
+    many = dict(catalog.dtypes)[field].startswith("array")
+    return catalog.where(field_range(field, low, high, many)).select("id")
 
 
 def match_fuzzy(index: TextIndex, term: str, max_edits: int = 2) -> DataFrame:
@@ -257,11 +265,18 @@ def sort_columns(spec: str = "concern asc,title asc") -> list[Column]:
     columns = []
     for item in spec.split(","):
         name, _, direction = item.strip().partition(" ")
-        column = F.lower(name) if FIELD_KINDS.get(name) == "text" else F.col(name)
-        columns.append(column.desc_nulls_last() if direction.strip() == "desc" else column.asc_nulls_last())
+        direction = direction.strip().lower() or "asc"
+        if direction not in ("asc", "desc"):
+            raise ValueError(f"sort direction {direction!r} is neither asc nor desc")
+        column = F.lower(name) if _kind(name) == "text" and name != "content_type" else F.col(name)
+        columns.append(column.desc_nulls_last() if direction == "desc" else column.asc_nulls_last())
     return [*columns, F.col("id").asc()]
 
 
+def sorts_by(spec: str, name: str) -> bool:
+    return any(item.split()[:1] == [name] for item in spec.split(","))
+
+
 def sort_by(df: DataFrame, spec: str = "concern asc,title asc") -> DataFrame:
     return df.orderBy(*sort_columns(spec))
 

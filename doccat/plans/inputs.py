@@ -15,12 +15,14 @@ from doccat.functions import props as B
 from doccat.operators.metadata import derive_metadata
 from doccat.operators.postings import TextIndex
 from doccat.plans.ingest import with_ids
-from doccat.session import shared_folder
+from doccat.session import shared_folder, spread
 from doccat.sources.catalog import CatalogStore
 from doccat.sources.commits import FULL
 
 SETTINGS = Settings(inbox="inbox", manual="manualcheck")
 AS_OF = "2024-02-29T12:30:45Z"
+#: Parts to deal texts out to; a benchmark on tables of one row group sets it, nothing else does.
+PARTITIONS: int | None = None
 
 PATHS = """
 SELECT doc_id, text, lang, source, n_chars,
@@ -138,7 +140,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_ids(paths(spark, sf_dir), SETTINGS).select("id", F.col("text").alias("contents"))
+    rows = with_ids(paths(spark, sf_dir), SETTINGS).select("id", F.col("text").alias("contents"))
+    return spread(rows, PARTITIONS, "id")
 
 
 def index(spark: SparkSession, sf_dir: str) -> TextIndex:

@@ -179,7 +179,7 @@ def align_schema(spark, sf):
 
 @query
 def extract_text(spark, sf):
-    return ST.extract_text(I.table(spark, sf, "pages"), "html", html=True).select("page_id", "contents")
+    return ST.extract_text(I.table(spark, sf, "pages"), "html", True, I.PARTITIONS).select("page_id", "contents")
 
 
 @query
@@ -347,7 +347,7 @@ def _with_content(spark, sf) -> DataFrame:
 
 @query
 def import_documents(spark, sf):
-    done = OM.import_documents(_with_content(spark, sf), None, I.as_of(), "watcher", I.SETTINGS)
+    done = OM.import_documents(_with_content(spark, sf), None, I.as_of(), "watcher", I.SETTINGS, I.PARTITIONS)
     return done.select(
         "doc_id", "id", "title", "concern", "convert", "ocr", "error", "checksum",
         F.md5(F.col("contents").cast("binary")).alias("contents_md5"),

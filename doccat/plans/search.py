@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from doccat.config import DEFAULT_LIMIT, WEB_LIMIT
 from doccat.operators import search as Q
@@ -40,6 +41,10 @@ def search_concern(catalog: DataFrame, index: TextIndex, request: str = "*", con
     return Q.listing(Q.page(concern_matches(catalog, index, request, concern), "concern asc", limit, offset))
 
 
+def _scored(matches: DataFrame, scores: DataFrame) -> DataFrame:
+    return matches.join(scores, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def search(catalog: DataFrame, ids: DataFrame, scores: DataFrame | None = None, filter: Column | None = None,
            sort: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0,
            facets: list[str] | None = None) -> Result:
@@ -47,13 +52,15 @@ def search(catalog: DataFrame, ids: DataFrame, scores: DataFrame | None = None,
 
     ``filter`` restricts without touching the scores. Without ``sort`` the
     documents come by relevance if ``scores`` (id, score) are given, else by id.
+    A match without a score has score 0; ``sort`` may name ``score`` too.
     """
     rows = live(catalog) if filter is None else live(catalog).where(filter)
     matches = Q.documents(rows, ids)
     if sort is not None:
-        docs = Q.page(matches, sort, limit, offset)
+        by_score = scores is not None and Q.sorts_by(sort, "score")
+        docs = Q.page(_scored(matches, scores) if by_score else matches, sort, limit, offset)
     elif scores is not None:
-        docs = Q.top_ranked(matches.join(scores, "id"), limit, offset)
+        docs = Q.top_ranked(_scored(matches, scores), limit, offset)
     else:
         docs = Q.page(matches, "id asc", limit, offset)
     counts = None if facets is None else Q.facets(matches, facets)

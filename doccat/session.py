@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,29 +25,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares; a temporary one only in local mode."""
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="doccat-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+    """A fresh path in the folder the cluster shares, or beside the session's tables if it names none."""
+    base = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
-
-
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Give every core a share of a small input before heavy work on its rows.
-
-    A small file is one row group and so one task. Inputs that plan to more than
-    16 MB per core have enough row groups and are left as they are.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    planned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(planned)) > cores * SPREAD_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *key)
+def spread(df: DataFrame, partitions: int | None, *key: str) -> DataFrame:
+    """Deal rows out anew where the caller names a number of parts."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions, *key)

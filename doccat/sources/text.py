@@ -12,9 +12,9 @@ from doccat.functions.text import decode_text, html_to_text, trim_space
 from doccat.session import spread
 
 
-def extract_text(docs: DataFrame, column: str, html: bool = False) -> DataFrame:
-    """Add trimmed ``contents`` from bytes or text, taking HTML apart if asked."""
-    docs, source = spread(docs), F.col(column)
+def extract_text(docs: DataFrame, column: str, html: bool = False, partitions: int | None = None) -> DataFrame:
+    """Add trimmed ``contents`` from bytes or text, taking HTML apart if asked; ``partitions`` deals the rows out anew."""
+    docs, source = spread(docs, partitions), F.col(column)
     text = decode_text(source) if isinstance(docs.schema[column].dataType, T.BinaryType) else source
     return docs.withColumn("contents", html_to_text(text) if html else trim_space(text))
 

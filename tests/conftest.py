@@ -9,17 +9,15 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-from doccat.session import CHECKPOINT_DIR, local_session  # noqa: E402
+from doccat.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(8, 4, "6g")
     session.sparkContext.setLogLevel("OFF")
-    if not session.conf.get(CHECKPOINT_DIR, None):
-        session.conf.set(CHECKPOINT_DIR, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

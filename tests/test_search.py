@@ -240,14 +240,14 @@ def test_web_search(spark, catalog, concern, want):
 
 
 def test_normalize_query(spark):
-    rows = [("Müller +Maier", None, False), ("Müller +Maier", "lastname asc", True),
-            ("lastname:Müller +firstname:Heinz", None, False), ("lastname:Müller", None, True)]
+    rows = [("Gränicher +Odermatt", None, False), ("Gränicher +Odermatt", "lastname asc", True),
+            ("lastname:Gränicher +firstname:Ursula", None, False), ("lastname:Gränicher", None, True)]
     df = spark.createDataFrame(rows, "query string, sort string, is_object boolean")
     assert [(r.query, r.sort) for r in Q.normalize_query(df).collect()] == [
-        ("contents:(Müller +Maier)", "concern asc,title asc"),
-        ("contents:(Müller +Maier)", "lastname asc"),
-        ("lastname:Müller +firstname:Heinz", "concern asc,title asc"),
-        ("lastname:Müller", None),
+        ("contents:(Gränicher +Odermatt)", "concern asc,title asc"),
+        ("contents:(Gränicher +Odermatt)", "lastname asc"),
+        ("lastname:Gränicher +firstname:Ursula", "concern asc,title asc"),
+        ("lastname:Gränicher", None),
     ]
 
 
