@@ -133,7 +133,7 @@ def forest_of_sketches(fps: list[bytes], sketches: np.ndarray, most: int) -> lis
     while len(left) > 1:
         frontier, left = [int(left[0])], left[1:]
         while frontier and len(left):
-            x = frontier.pop()
+            x = frontier.pop(0)
             near = np.bitwise_count(sketches[left] ^ sketches[x]).sum(axis=1) <= most
             edges += [(fps[x], fps[y]) for y in left[near]]
             frontier += left[near].tolist()
@@ -147,12 +147,13 @@ def candidates(reps: DataFrame, chunk: int = CELL) -> DataFrame:
     Buckets are counted first and single ones dropped. A bucket of more than
     ``chunk`` sets is dealt into parts by a hash that differs from band to band;
     its members are alike, so the parts of 32 bands hold them together. Within a
-    part only the edges of a spanning forest are given out.
+    part only the edges of a spanning forest are given out, each from the smallest
+    fingerprint that is left, so that the bands agree on most of them.
     """
     members = reps.select("fp", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     dealt = members.join(full, "bucket").select("fp", "bucket", F.pmod(F.xxhash64("fp", "bucket"), F.ceil(F.col("held") / chunk)).alias("chunk"))
-    rows = dealt.join(reps.select("fp", "sketch"), "fp").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    rows = dealt.join(reps.select("fp", "sketch"), "fp").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "fp")
     most = most_difference(CANDIDATE)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
