@@ -157,9 +157,9 @@ def _store(texts: DataFrame, removed: DataFrame | None, path: str, kind: str, fi
     commits = Commits(texts.sparkSession, f"{path}/commits")
     if commits.finished(writer, batch_id) is not None:
         return
-    version = commits.last() + 1
+    version = commits.claim()
     write_postings(build_postings(texts, field), f"{path}/postings/version={version}", n_buckets)
     doc_stats(texts, field).write.mode("overwrite").partitionBy("field").parquet(f"{path}/stats/version={version}")
     replaced = texts.select("id") if removed is None else texts.select("id").union(removed.select("id"))
     replaced.write.mode("overwrite").parquet(f"{path}/replaced/version={version}")
-    commits.add(version, kind if version else FULL, field, writer, batch_id)
+    commits.add(version, kind, field, writer, batch_id)

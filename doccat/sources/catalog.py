@@ -27,17 +27,16 @@ class CatalogStore:
     def version(self) -> int:
         return self.commits.last()
 
-    def write(self, rows: DataFrame, kind: str = DELTA, writer: str | None = None, batch_id: int | None = None) -> int:
-        """Store ``rows`` as the next version and give its number; a batch this ``writer`` has finished keeps its own."""
+    def write(self, rows: DataFrame, kind: str = DELTA, writer: str | None = None, batch_id: int | None = None,
+              base: int | None = None) -> int:
+        """Store ``rows`` as a version and give its number; a batch this ``writer`` has finished keeps its own."""
         done = self.commits.finished(writer, batch_id)
         if done is not None:
             return done
-        version = self.version()
-        kind = kind if version >= 0 else FULL
-        version += 1
+        version = self.commits.claim()
         data = rows.drop("version", "last_batch_id").withColumn("last_batch_id", F.lit(batch_id).cast("bigint"))
         data.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
-        self.commits.add(version, kind, data.schema.json(), writer, batch_id)
+        self.commits.add(version, kind, data.schema.json(), writer, batch_id, base)
         return version
 
     def read(self, tombstones: bool = False) -> DataFrame:
@@ -63,8 +62,9 @@ class CatalogStore:
         return self._rows(version, detail)
 
     def compact(self) -> int:
-        """Write the current state as a full version, tombstones included."""
-        return self.write(self.read(tombstones=True), FULL)
+        """Write the current state as a full version, tombstones included; versions still being written stay above it."""
+        base = self.commits.settled()
+        return self.write(self.read(tombstones=True), FULL, base=base)
 
     def _rows(self, version: int, schema: str) -> DataFrame:
         stored = self.spark.read.schema(T.StructType.fromJson(json.loads(schema)))

@@ -154,6 +154,29 @@ def test_a_batch_is_applied_once(spark, tmp_path):
     assert [r.title for r in store.changed_in(0).collect()] == ["a"]
 
 
+def test_two_writers_that_saw_the_same_last_version(spark, tmp_path, monkeypatch):
+    store = C.CatalogStore(spark, str(tmp_path / "c"))
+    store.write(rows(spark, ("1", "a", None)))
+    with monkeypatch.context() as both:
+        both.setattr(C.Commits, "last", lambda self: 0)
+        assert [store.write(rows(spark, ("2", t, None), (t, t, None))) for t in "xy"] == [1, 2]
+    assert seen(store) == {"1": "a", "2": "y", "x": "x", "y": "y"} and store.read().count() == 4
+
+
+def test_compaction_beside_a_writer(spark, tmp_path):
+    store = C.CatalogStore(spark, str(tmp_path / "c"))
+    store.write(rows(spark, ("1", "a", None), ("2", "old", None)))
+    late = store.commits.claim()
+    store.write(rows(spark, ("3", "c", None)))
+    assert store.compact() == 3 and seen(store) == {"1": "a", "2": "old", "3": "c"}
+    data = rows(spark, ("2", "b", None), ("3", "older", None)).withColumn("last_batch_id", F.lit(None).cast("bigint"))
+    data.write.parquet(f"{store.path}/data/version={late}")
+    store.commits.add(late, "delta", data.schema.json())
+    want = {"1": "a", "2": "b", "3": "c"}
+    assert seen(store) == want and store.compact() == 4 and seen(store) == want
+    assert len(store.commits.current()) == 1
+
+
 def test_write_catalog(spark, tmp_path):
     assert C.write_catalog(rows(spark, ("1", "a", None)), str(tmp_path / "c")).count() == 1
     assert C.write_catalog(rows(spark, ("2", "b", None)), str(tmp_path / "c")).first().id == "2"
