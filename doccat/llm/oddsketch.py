@@ -287,7 +287,8 @@ def judged(documents: DataFrame, percent: int = PERCENT, cell: int = CELL) -> Da
     label = components(links(docs, known, percent, cell), "components").select(F.col("node").alias("fp"), "component")
     rows = known.select("doc_id", "key", "n", "fp").join(label, "fp", "left").select("doc_id", "key", "n", F.coalesce("component", "fp").alias("component"))
     rows = stored(rows, "labelled")
-    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that Spark can split the rows of a component of any size when it joins them
+    least = stored(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     full = rows.where("n > 0").join(least, "component").select("doc_id", "key", "n", "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id")))
 
