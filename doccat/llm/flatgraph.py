@@ -139,8 +139,38 @@ def sharded(vectors: DataFrame, overlap: int, most: int = MOST_MEMBERS, target:
     return out
 
 
+def parts_of(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component; every edge is given in both directions."""
+    label = np.arange(n)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, source, label[target])
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def connected(y: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Edges (source * n + target) with more of them until the graph is one: each row gets one to its nearest row of another component."""
+    n = len(y)
+    while True:
+        part = parts_of(n, pairs // n, pairs % n)
+        if not part.any():
+            return pairs
+        outer = np.empty(n, np.int64)
+        for i in range(0, n, 512):
+            sims = y[i : i + 512] @ y.T
+            sims[part[i : i + 512, None] == part] = -3
+            outer[i : i + 512] = sims.argmax(axis=1)
+        pairs = np.unique(np.concatenate([pairs, np.arange(n) * n + outer, outer * n + np.arange(n)]))
+
+
 def pruned(x: np.ndarray) -> list[np.ndarray]:
-    """Each row's edges: its nearest candidates, without those that a kept one is nearer to by the factor ``ALPHA``; and back."""
+    """Each row's edges: its nearest candidates, without those that a kept one is nearer to by the factor ``ALPHA``; and back.
+
+    Where groups of rows have all their candidates among themselves, edges between them make the graph one.
+    """
     n = len(x)
     size = min(CANDIDATES, n - 1)
     if size < 1:
@@ -167,16 +197,17 @@ def pruned(x: np.ndarray) -> list[np.ndarray]:
         sources.append(row + i)
         targets.append(near[row, place])
     source, target = np.concatenate(sources), np.concatenate(targets)
-    pairs = np.unique(np.concatenate([source * n + target, target * n + source]))
+    pairs = connected(y, np.unique(np.concatenate([source * n + target, target * n + source])))
     return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
 
 
 def in_range(x: np.ndarray, starts: np.ndarray, edges: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) of cosine ``cosine`` or more, found by searching the graph for every row, all rows at a time.
 
-    ``starts`` and ``edges`` are the adjacency lists, one after the other. Greedy
-    search from the medoid holds the ``beam`` best nodes until all of them have
-    been expanded; then nodes in range are expanded as long as new ones turn up.
+    ``starts`` and ``edges`` are the adjacency lists, one after the other, of a
+    connected graph. Greedy search from the medoid and from the row's own node
+    holds the ``beam`` best nodes until all of them have been expanded; then nodes
+    in range are expanded as long as new ones turn up.
     """
     n, y = len(x), x.astype(np.float32)
     degree = np.diff(starts)
@@ -206,12 +237,15 @@ def in_range(x: np.ndarray, starts: np.ndarray, edges: np.ndarray, cosine: float
         seen = np.zeros((n, n), bool) if n <= 2048 else None
         if seen is None:
             seen = np.zeros((first + len(asking), n), bool)
-        size = min(beam, n)
+        size = max(2, min(beam, n))
         held = np.full((len(asking), size), -1)
         score = np.full((len(asking), size), -3, np.float32)
         done = np.ones((len(asking), size), bool)
         held[:, 0], score[:, 0], done[:, 0] = medoid, y[asking] @ y[medoid], False
         seen[asking, medoid] = True
+        own = np.flatnonzero(asking != medoid)
+        held[own, 1], score[own, 1], done[own, 1] = asking[own], 1, False
+        seen[asking, asking] = True
         hits = [(asking, np.full(len(asking), medoid), score[:, 0].copy())]
         while not done.all():
             best = np.where(done, -4, score).argmax(axis=1)

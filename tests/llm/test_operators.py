@@ -237,6 +237,25 @@ def test_flat_graph_clusters_large_shards_again(spark):
     assert shards.groupBy("shard").count().agg(F.max("count")).first()[0] < 900
 
 
+def jittered(groups: int, members: int, seed: int) -> np.ndarray:
+    """Groups of near-copies, all within 0.95 of their group and far from the others."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, 64))
+    x = np.repeat(centres / np.sqrt((centres**2).sum(axis=1, keepdims=True)), members, axis=0)
+    x = x + rng.normal(size=x.shape) * 0.2 / 8
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def test_groups_of_near_copies_are_all_searched():
+    x = jittered(25, 60, 6)
+    lists = flatgraph.pruned(x)
+    starts = np.concatenate([[0], np.cumsum([len(e) for e in lists])])
+    query, node = flatgraph.in_range(x, starts, np.concatenate(lists), 0.95, flatgraph.BEAM)
+    true = x @ x.T >= 0.95
+    np.fill_diagonal(true, False)
+    assert true[query, node].all() and len(query) >= 0.98 * true.sum()
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 0.0]
     rows = [
