@@ -291,6 +291,28 @@ def in_range(x: np.ndarray, starts: np.ndarray, edges: np.ndarray, cosine: float
 LINKED = "node binary, near array<binary>"
 
 
+def close_pairs(x: np.ndarray, z: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and of ``z`` in range of each other, all compared a block at a time and confirmed in double precision."""
+    out, step = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], max(1, 8_000_000 // max(1, len(z)))
+    y, other = x.astype(np.float32), z.astype(np.float32).T
+    for i in range(0, len(x), step):
+        row, at = np.nonzero(y[i : i + step] @ other >= cosine - np.float32(1e-4))
+        for j in range(0, len(row), 100_000):
+            r, a = row[j : j + 100_000] + i, at[j : j + 100_000]
+            good = np.einsum("ij,ij->i", x[r], z[a]) >= cosine
+            out.append((r[good], a[good]))
+    return np.concatenate([r for r, _ in out]), np.concatenate([a for _, a in out])
+
+
+def listed(row: np.ndarray, names: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+    """``node, near``: for each row that occurs, the nodes that stand beside it."""
+    order = np.argsort(row, kind="stable")
+    row, others = row[order], others[order]
+    heads = np.flatnonzero(np.diff(row, prepend=-1))
+    near = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)), pa.int32()), pa.array(others, pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(names[row[heads]], pa.binary()), near], names=["node", "near"])
+
+
 def graph(shards: DataFrame) -> DataFrame:
     """``node, near``: adjacency lists of every shard's graph, united."""
 
@@ -332,6 +354,39 @@ def searched(shards: DataFrame, united: DataFrame, cosine: float, beam: int) ->
     return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
+def visited(vectors: DataFrame, shards: DataFrame, found: DataFrame, cosine: float, most: int = 20_000) -> DataFrame:
+    """``node, near`` with the links across shards: every node is compared with all shards that hold one of its links.
+
+    A node that is in range of a member of a shard it doesn't lie in visits that
+    shard and is compared with all members there, which are more than the
+    member's neighbours in the united graph. What is found sends nodes to
+    further shards, until none has anywhere left to go. At most ``most``
+    visitors of a shard share a task.
+    """
+    placed = shards.select("node", "shard")
+    every, seen, fresh = found, placed, found
+    while True:
+        pairs = fresh.select("node", F.explode("near").alias("other"))
+        reached = pairs.join(placed.withColumnRenamed("node", "other"), "other").select("node", "shard").distinct()
+        visits = stored(reached.join(seen, ["node", "shard"], "left_anti"), "visits")
+        if visits.isEmpty():
+            return every.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        asked = stored(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")), "asked")
+        salt = F.pmod(F.xxhash64("node", F.lit(4)), F.col("parts"))
+        visitors = visits.join(asked, "shard").join(vectors.select("node", "vec"), "node").select("shard", salt.alias("salt"), "node", "vec")
+        members = shards.join(asked, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), "node", "vec")
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"node": pa.array([], pa.binary()), "near": pa.array([], pa.list_(pa.binary()))})
+            guests, hosts = (np.array(t.column("node").to_pylist(), object) for t in (left, right))
+            row, at = close_pairs(units(left.column("vec")), units(right.column("vec")), cosine)
+            return pa.Table.from_batches([listed(row, guests, hosts[at]), listed(at, hosts, guests[row])])
+
+        fresh = stored(visitors.groupBy("shard", "salt").cogroup(members.groupBy("shard", "salt")).applyInArrow(compare, LINKED), "near")
+        every, seen = every.unionByName(fresh), seen.unionByName(visits.select("node", "shard"))
+
+
 def recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = AUDIT_QUERIES) -> float:
     """Share of the links of a fixed set of query vectors, compared with all vectors, that the search has found.
 
@@ -372,6 +427,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, be
         shards = sharded(vectors, overlap)
         united = stored(graph(shards), "graph")
         found = stored(searched(shards, united, cosine, beam), "near")
+        found = stored(visited(vectors, shards, found, cosine), "near")
         if recall(vectors, found, cosine) >= RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 
 import brute
 import numpy as np
@@ -256,6 +257,18 @@ def test_groups_of_near_copies_are_all_searched():
     assert true[query, node].all() and len(query) >= 0.98 * true.sum()
 
 
+def test_a_group_over_many_shards_is_linked_across_them(spark, monkeypatch):
+    """Twenty centres in one group of near-copies, two of them for each vector; the first search is taken as it is."""
+    monkeypatch.setattr(flatgraph, "sharded", functools.partial(flatgraph.sharded, target=20))
+    monkeypatch.setattr(flatgraph, "RECALL", 0)
+    monkeypatch.setattr(flatgraph, "AUDIT_QUERIES", 64)
+    x = jittered(1, 400, 7)
+    own = flatgraph.classes(vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x.astype(np.float32))])).select("node", "vec")
+    found = flatgraph.links(own, overlap=2)
+    true = (x @ x.T >= 0.95).sum() - len(x)
+    assert found.agg(F.sum(F.size("near"))).first()[0] >= 0.98 * true
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 0.0]
     rows = [
