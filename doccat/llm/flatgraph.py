@@ -23,7 +23,9 @@ LEVELS = 4
 #: Graph: candidates looked at, edges kept, slack of pruning; search: nodes held.
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
 #: Recall that the audit wants; below it the search is done again with twice the overlap and beam.
-RECALL, AUDIT_QUERIES = 0.98, 512
+RECALL = 0.98
+#: Audit: one vector in so many is asked, vectors at least, links to see at least; vectors compared at a time, in bytes.
+AUDIT_SHARE, AUDIT_QUERIES, AUDIT_LINKS, BLOCK_BYTES = 50, 512, 200, 8_000_000
 
 
 def classes(embeddings: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def sharded(vectors: DataFrame, overlap: int, most: int = MOST_MEMBERS, target:
 
     Vectors of different dimensions never share a shard. A shard of more than
     ``most`` members is clustered again on a sample of its own; what cannot be
-    parted in four rounds stays as it is and is told by the audit, not dropped.
+    parted in four rounds stays as it is and is not dropped.
     """
     spark = vectors.sparkSession
     shards = []
@@ -387,51 +389,71 @@ def visited(vectors: DataFrame, shards: DataFrame, found: DataFrame, cosine: flo
         every, seen = every.unionByName(fresh), seen.unionByName(visits.select("node", "shard"))
 
 
-def recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the links of a fixed set of query vectors, compared with all vectors, that the search has found.
+def compared(vectors: DataFrame, cosine: float, share: int) -> DataFrame:
+    """``node, near``: true links of one in ``share`` vectors (by hash), each compared with all vectors.
 
-    The set (at most ``queries`` vectors, those of the smallest hashes) is broadcast; each
-    task counts the links of its own vectors with it.
+    The vectors asked for are broadcast ``BLOCK_BYTES`` at a time, whatever their number.
     """
-    chosen = vectors.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(queries).select("node", "vec").toArrow()
-    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    widths = np.array([len(v) for v in chosen.column("vec").to_pylist()])
-    for width in set(widths.tolist()):
-        own = chosen.filter(pa.array(widths == width))
-        by_width[width] = np.array(own.column("node").to_pylist(), object), units(own.column("vec"))
-    shared = vectors.sparkSession.sparkContext.broadcast(by_width)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.array([len(v) for v in batch.column("vec").to_pylist()])
-            for width, (names, asked) in shared.value.items():
-                part = batch.filter(pa.array(size == width))
-                if part.num_rows:
-                    own = np.array(part.column("node").to_pylist(), object)
-                    row, place = np.nonzero(units(part.column("vec")) @ asked.T >= cosine)
-                    different = own[row] != names[place]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[place][different], pa.binary()), pa.array(own[row][different], pa.binary())], names=["node", "other"]
-                    )
-
-    true = stored(vectors.select("node", "vec").mapInArrow(compare, "node binary, other binary"), "audit")
-    hit = true.join(found, "node", "left").agg(
-        F.count(F.lit(1)).alias("all"), F.count_if(F.coalesce(F.array_contains("near", F.col("other")), F.lit(False))).alias("hit")
-    ).first()
-    return hit.hit / hit.all if hit.all else 1.0
+    asked = vectors.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(share)) == 0)
+    blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("vec"))).first()[0] or 0) // BLOCK_BYTES))
+    out = None
+    for block in range(blocks):
+        chosen = asked.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)) == block).select("node", "vec").toArrow()
+        widths = np.array([len(v) for v in chosen.column("vec").to_pylist()])
+        by_width = {}
+        for width in set(widths.tolist()):
+            own = chosen.filter(pa.array(widths == width))
+            by_width[width] = np.array(own.column("node").to_pylist(), object), units(own.column("vec"))
+        shared = vectors.sparkSession.sparkContext.broadcast(by_width)
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size = np.array([len(v) for v in batch.column("vec").to_pylist()])
+                for width, (names, x) in shared.value.items():
+                    part = batch.filter(pa.array(size == width))
+                    if part.num_rows:
+                        own = np.array(part.column("node").to_pylist(), object)
+                        row, place = close_pairs(x, units(part.column("vec")), cosine)
+                        different = names[row] != own[place]
+                        yield listed(row[different], names, own[place[different]])
+
+        part = stored(vectors.select("node", "vec").mapInArrow(compare, LINKED), "compared")
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"))
+
+
+def recall(true: DataFrame, found: DataFrame) -> float:
+    """Share of the true links that the search has found: over all of them or as the mean of the nodes, whichever is less."""
+    pairs = true.join(found.withColumnRenamed("near", "seen"), "node", "left")
+    hit = F.size(F.array_intersect("near", F.coalesce("seen", F.array().cast("array<binary>"))))
+    row = pairs.select(hit.alias("hit"), F.size("near").alias("all")).agg((F.sum("hit") / F.sum("all")).alias("links"), F.avg(F.col("hit") / F.col("all")).alias("nodes")).first()
+    return min(row.links, row.nodes)
 
 
 def links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, rounds: int = 3) -> DataFrame:
-    """``node, near`` for distinct vectors; searched again with twice the overlap and beam while the audit finds too little."""
-    for _ in range(rounds):
+    """``node, near`` for distinct vectors; searched again with twice the overlap and beam while the audit finds too little.
+
+    The audit asks one vector in ``AUDIT_SHARE``, but ``AUDIT_QUERIES`` at least, and
+    more of them until it sees ``AUDIT_LINKS`` links: fewer say nothing about
+    the search. If that takes all vectors, or if the last round still falls
+    short, all vectors are compared with all, and that is the result.
+    """
+    share = max(1, min(AUDIT_SHARE, vectors.count() // AUDIT_QUERIES))
+    while share > 1:
+        true = stored(compared(vectors, cosine, share), "audit")
+        if (true.agg(F.sum(F.size("near"))).first()[0] or 0) >= AUDIT_LINKS:
+            break
+        share //= 8
+    for _ in range(rounds if share > 1 else 0):
         shards = sharded(vectors, overlap)
         united = stored(graph(shards), "graph")
         found = stored(searched(shards, united, cosine, beam), "near")
         found = stored(visited(vectors, shards, found, cosine), "near")
-        if recall(vectors, found, cosine) >= RECALL:
-            break
+        if recall(true, found) >= RECALL:
+            return found
         overlap, beam = 2 * overlap, 2 * beam
-    return found
+    return stored(compared(vectors, cosine, 1), "near")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:

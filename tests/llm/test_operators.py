@@ -269,6 +269,18 @@ def test_a_group_over_many_shards_is_linked_across_them(spark, monkeypatch):
     assert found.agg(F.sum(F.size("near"))).first()[0] >= 0.98 * true
 
 
+@pytest.mark.parametrize("members", [2, 60])
+def test_what_the_search_misses_is_settled(spark, monkeypatch, members):
+    """A search that finds nothing, on a table of few links and on one of many."""
+    nothing = spark.createDataFrame([], flatgraph.LINKED)
+    monkeypatch.setattr(flatgraph, "searched", lambda *_: nothing)
+    x = np.concatenate([np.random.default_rng(8).normal(size=(1500, 64)), jittered(3, members, 9)])
+    own = flatgraph.classes(vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x.astype(np.float32))])).select("node", "vec")
+    found = flatgraph.links(own, rounds=1).agg(F.sum(F.size("near"))).first()[0]
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert found == (x @ x.T >= 0.95).sum() - len(x)
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 0.0]
     rows = [
