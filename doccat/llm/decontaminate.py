@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doccat.llm.common import row_key, slices, text_of, utf8
+from doccat.llm.common import row_key, slices, stored, text_of, utf8
 from doccat.llm.hashing import LOWER
 
 WINDOW = 10
@@ -115,18 +115,18 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_parts(benchmark: DataFrame, most: int = AUTOMATON_BYTES) -> list[list[tuple[str, str]]]:
+def item_parts(benchmark: DataFrame, most: int = AUTOMATON_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The items in parts of at most ``most`` bytes of text each (a longer item alone), for one automaton each.
 
-    The size is summed first; a part is then fetched by its own query, so the
-    driver never holds more than one part and the list of automata grows only
-    with the benchmark.
+    The size is summed first; a part is then fetched by its own query when it is
+    asked for.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // most)) if total > most else 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in items.where(part == i).collect()]
 
 
 SCANNED = "doc_id long, key long, n_words long, spans array<struct<first:int,end:int>>, pieces array<struct<start:int,end:int>>, items array<string>"
@@ -176,24 +176,35 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Null texts have no words; items without words match nothing; a null item_id
     counts as an empty name. A benchmark past ``most`` bytes is scanned in parts,
-    and what the parts find is put together by document (rows that repeat as a
-    whole then come once).
+    each in its turn; what the parts find in a text is put together and joined
+    back to all rows of that text, so rows that repeat come as often as given.
     """
     docs = text_of(documents).select("doc_id", row_key().alias("key"), "text")
     parts = item_parts(benchmark, most)
-    if len(parts) == 1:
-        return scanned(docs, parts[0], window)
-    found = scanned(docs, parts[0], window)
-    for part in parts[1:]:
-        found = found.unionByName(scanned(docs, part, window))
-    together = found.groupBy("doc_id", "key").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.flatten(F.collect_list("pieces")).alias("pieces"), F.flatten(F.collect_list("items")).alias("items"),
-    )
-    return together.select(
-        "doc_id", "key", "n_words", merged_spans("spans").alias("spans"), F.array_sort("pieces").alias("pieces"),
-        F.array_sort(F.array_distinct("items")).alias("items"),
+    items, following = next(parts), next(parts, None)
+    if following is None:
+        return scanned(docs, items, window)
+    rows, found = None, None
+    while items is not None:
+        own = scanned(docs, items, window)
+        if rows is None:
+            # the first part's scan tells every row's words; later ones only what they hit
+            own = stored(own, "scanned")
+            rows = own.select("doc_id", "key", "n_words")
+            own = own.where(F.size("items") > 0)
+        else:
+            own = stored(own.where(F.size("items") > 0), "scanned")
+        hits = own.select("doc_id", "key", "spans", "pieces", "items")
+        found = hits if found is None else found.unionByName(hits)
+        items, following = following, next(parts, None) if following is not None else None
+    together = found.groupBy("doc_id", "key").agg(*(F.flatten(F.collect_set(c)).alias(c) for c in ("spans", "pieces", "items")))
+    together = together.select(
+        F.col("doc_id").alias("id__"), F.col("key").alias("key__"), merged_spans("spans").alias("spans"),
+        F.array_sort(F.array_distinct("pieces")).alias("pieces"), F.array_sort(F.array_distinct("items")).alias("items"),
     )
+    out = rows.join(together, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key") == F.col("key__")), "left")
+    empty = {c: F.coalesce(c, F.array().cast(own.schema[c].dataType)).alias(c) for c in ("spans", "pieces", "items")}
+    return out.select("doc_id", "key", "n_words", *empty.values())
 
 
 def digest(found: DataFrame) -> DataFrame:

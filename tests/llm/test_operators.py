@@ -123,6 +123,16 @@ def test_contamination_by_several_automata(odd, documents, spark, sf_dir):
     same_rows(found, brute.contamination(pairs(documents), items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def test_repeated_rows_stay_with_several_automata(repeated, spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").union(
+        spark.createDataFrame([(900, "One two"), (901, None), (903, "123")], "item_id long, text string")
+    )
+    items = [tuple(r) for r in bench.collect()]
+    found = decontaminate.digest(decontaminate.contamination(repeated, bench, most=2000))
+    want = brute.contamination(pairs(repeated), items)
+    same_rows(found, want, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def test_spans_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "Héllo, A-B  c!")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b C")], "item_id long, text string")
