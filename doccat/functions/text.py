@@ -44,12 +44,16 @@ def html_to_text(html: Column) -> Column:
 BINARY_STARTS = ("25504446", "504B0304", "D0CF11E0", "89504E47", "FFD8FF", "1F8B")
 
 
-def decode_text(content: Column) -> Column:
-    """UTF-8 bytes to text; malformed bytes become the replacement character, known binary formats and NUL bytes null."""
+def decode_text(content: Column, content_type: Column | None = None) -> Column:
+    """UTF-8 bytes to whole text, NULs included; malformed bytes become the replacement character.
+
+    Bytes that begin like a known binary format give null, unless the content type says that they are text.
+    """
     start = F.hex(F.substring(content, 1, 4))
     binary = F.coalesce(start.rlike(f"^({'|'.join(BINARY_STARTS)})"), F.lit(False))
-    text = F.make_valid_utf8(content.cast("string"))
-    return F.when(~binary & ~text.contains("\0"), text)
+    if content_type is not None:
+        binary = binary & ~F.coalesce(F.lower(content_type).rlike("^text/|html"), F.lit(False))
+    return F.when(~binary, F.make_valid_utf8(content.cast("string")))
 
 
 def lenient_base64(payload: Column) -> Column:

@@ -73,9 +73,10 @@ def derive_metadata(files: DataFrame, as_of: Column | None = None, origin: str |
 
 def with_text(files: DataFrame, extractor: Callable[[Column], Column] | None = None) -> DataFrame:
     """Checksum and trimmed text of ``content``; the bytes are dropped."""
-    extract = extractor or X.decode_text
+    content = F.col("content")
+    text = extractor(content) if extractor else X.decode_text(content, F.col("content_type"))
     return files.withColumns(
-        {"contents": X.trim_space(extract(F.col("content"))), "checksum": M.checksum(F.col("content"))}
+        {"contents": X.trim_space(text), "checksum": M.checksum(F.col("content"))}
     ).drop("content")
 
 

@@ -21,7 +21,7 @@ def extract_text(docs: DataFrame, column: str, html: bool = False, partitions: i
 
 def extract_content(content: Column, content_type: Column) -> Column:
     """Text of ``content`` by its type: HTML is taken apart, other text decoded, the rest is null."""
-    text = decode_text(content)
+    text = decode_text(content, content_type)
     return F.when(content_type.contains("html"), html_to_text(text)).when(
         content_type.startswith("text/"), trim_space(text)
     )

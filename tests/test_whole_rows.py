@@ -75,3 +75,12 @@ def test_binary_files_have_no_text(spark):
     assert (out["/a/x.pdf"].contents, out["/a/x.pdf"].error) == (None, "no text")
     assert (out["/a/y.pdf"].contents, out["/a/y.pdf"].error) == ("plain words", None)
     assert out["/a/z.png"].contents is None and (out["/a/z.png"].error is None) == out["/a/z.png"].convert
+
+
+def test_texts_stay_whole_whatever_bytes_they_hold(spark):
+    bag = {"Content-Type": ["text/plain"]}
+    given = {"/a/nul.txt": "one\0two", "/a/head.txt": "%PDF is how such files begin"}
+    rows = [(p, bytearray(t.encode()), bag, {}) for p, t in given.items()] + [("/a/nul.pdf", bytearray(b"a\0b"), {"Content-Type": ["application/pdf"]}, {})]
+    df = spark.createDataFrame(rows, "path string, content binary, extracted map<string,array<string>>, supplied map<string,array<string>>")
+    out = {r.path: (r.contents, r.error) for r in OM.import_documents(df).collect()}
+    assert out == {**{p: (t, None) for p, t in given.items()}, "/a/nul.pdf": ("a\0b", None)}
