@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import fractions
 import hashlib
+import math
 import re
 import zlib
 
@@ -130,3 +132,75 @@ def shares(sizes: dict[str | None, int]) -> dict[str | None, float]:
         if not over:
             return out
         full |= over
+
+
+def best_rows(rows: list[tuple[int | None, list | None]], k: int = 5) -> list[tuple]:
+    """query_id, rank, vec_id, score; rows must not repeat."""
+    fine = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for i, q in fine:
+        if i % 50 == 0:
+            scores = [(-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in fine if j != i and len(v) == len(q)]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def collocations(rows: list[tuple[str | None, str | None]], longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000) -> list[tuple]:
+    found, totals = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals["und" if lang is None else lang] += len(words)
+            for n in range(1, longest + 1):
+                for k in range(len(words) - n + 1):
+                    found["und" if lang is None else lang, tuple(words[k : k + n])] += 1
+    many = {p: a for p, a in found.items() if len(p[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, p), f in many.items():
+        for n in range(2, len(p)):
+            gone |= {(lang, p[k : k + n]) for k in range(len(p) - n + 1) if 100 * f >= covered * found[lang, p[k : k + n]]}
+    ranked = collections.defaultdict(list)
+    for (lang, p), a in many.items():
+        if (lang, p) not in gone:
+            cut = min((1_000_000 * a * a // (found[lang, p[:k]] * found[lang, p[k:]]), k) for k in range(1, len(p)))
+            l, r = found[lang, p[: cut[1]]], found[lang, p[cut[1] :]]
+            ranked[lang].append((-cut[0], -a, " ".join(p).encode(), l, r))
+    return [
+        (lang, place + 1, p.decode(), -a, l, r, totals[lang], -s)
+        for lang, own in ranked.items() for place, (s, a, p, l, r) in enumerate(sorted(own)[:top])
+    ]
+
+
+def planted_words(doc_id: int | None, text: str | None) -> list[str]:
+    words, h = WORD.findall(text or ""), zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i if i < a else a + (i - a) % p] for i in range(n)]
+
+
+def runs(w: list, least: int = 24, times: int = 3) -> list[tuple[int, int, int]]:
+    """start, length, period, period by period."""
+    out, n = [], len(w)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            length = j + q - i
+            if j > i and length >= max(least, times * q) and not any(q % d == 0 and w[i : i + length - d] == w[i + d : i + length] for d in range(1, q)):
+                out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_digest(doc_id: int | None, words: list[str]) -> tuple:
+    found = runs(words)
+    gone = {k for s, z, q in found for k in range(s + q, s + z)}
+    best = max(found, key=lambda r: (fractions.Fraction(r[1], r[2]), -r[0], -r[2]), default=(None, None, None))
+    lines = "".join(f"{s},{z},{q}\n" for s, z, q in found)
+    kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+    return doc_id, len(found), *best, best[1] and 1000 * best[1] // best[2], sha(lines), sha(kept)
