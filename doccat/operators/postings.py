@@ -17,6 +17,7 @@ POSTINGS = (
     "version bigint, n_buckets int, field string, bucket int"
 )
 STATS = "id string, n_terms int, version bigint, field string"
+TERMS = "term string, df bigint, n_buckets int, bucket int, version bigint, field string"
 REPLACED = "id string, version bigint"
 Predicate = Callable[[Column], Column]
 
@@ -91,14 +92,28 @@ def write_postings(postings: DataFrame, path: str, n_buckets: int = N_BUCKETS, m
     )
 
 
+def write_terms(postings: DataFrame, path: str) -> None:
+    """Store each distinct term of stored postings with the number of its documents and its bucket, sorted by term."""
+    terms = postings.groupBy("field", "n_buckets", "bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms.hint("rebalance", "field").sortWithinPartitions("term").write.mode("overwrite").partitionBy("field").parquet(path)
+
+
 class TextIndex:
-    """Term lookup over one text column, from stored postings or straight from the texts."""
+    """Term lookup over one text column, from stored postings or straight from the texts.
+
+    A stored index has a table of its distinct terms. Patterns and near
+    spellings are looked for there; only the postings of what is found are read,
+    and only from its buckets.
+    """
 
     def __init__(self, texts: DataFrame | None = None, postings: DataFrame | None = None,
-                 stats: DataFrame | None = None, field: str = "contents"):
+                 stats: DataFrame | None = None, field: str = "contents", terms: DataFrame | None = None,
+                 whole: bool = False):
         if texts is None and (postings is None or stats is None):
             raise ValueError("give the texts, or stored postings with their stats")
         self.field, self._texts, self._postings = field, texts, postings
+        #: ``whole`` tells that no later version has replaced documents, so that the terms' frequencies hold.
+        self._terms, self._whole = terms, whole
         self.stats = doc_stats(texts, field) if stats is None else stats
 
     @classmethod
@@ -132,12 +147,17 @@ class TextIndex:
             postings = postings.join(newest, outdated(postings), "left_anti")
             stats = stats.join(newest, outdated(stats), "left_anti")
         this_field = F.col("field") == field
-        return cls(postings=postings.where(this_field), stats=stats.where(this_field), field=field)
+        terms = stored(TERMS, "terms").where(this_field)
+        return cls(postings=postings.where(this_field), stats=stats.where(this_field), field=field, terms=terms, whole=len(commits) == 1)
 
     def lookup(self, keep: Predicate, terms: list[str] | None = None) -> DataFrame:
         """Postings whose term passes ``keep``; exact ``terms``, if known, prune the buckets."""
         if self._postings is None:
             return build_postings(self._texts, self.field, keep)
+        if not terms and self._terms is not None:
+            fitting = self._terms.where(keep(F.col("term"))).select("n_buckets", "bucket", "term").distinct()
+            found = self._postings.join(fitting, ["n_buckets", "bucket", "term"], "left_semi")
+            return found.select("id", "field", "term", "tf", "n_terms", "positions")
         found = self._postings.where(keep(F.col("term")))
         if terms and "bucket" in self._postings.columns:
             hashes = [F.pmod(F.hash(F.lit(t)), F.col("n_buckets")) for t in terms]
@@ -147,6 +167,17 @@ class TextIndex:
             found = found.where(hit)
         return found.select("id", "field", "term", "tf", "n_terms", "positions")
 
+    def having(self, words: DataFrame) -> DataFrame:
+        """Postings of the rows (``field, term``) that stand in ``words``, which may be many."""
+        rows = build_postings(self._texts, self.field) if self._postings is None else self._postings
+        return rows.join(words, ["field", "term"], "left_semi").select("id", "field", "term", "tf", "n_terms")
+
+    def frequencies(self, words: DataFrame) -> DataFrame:
+        """``field, term, df`` of the words (``field, term``) that occur; from the terms alone where their counts hold."""
+        if self._whole:
+            return self._terms.join(words, ["field", "term"], "left_semi").select("field", "term", "df")
+        return self.having(words).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
     def terms(self, terms: list[str]) -> DataFrame:
         lowered = sorted({t.lower() for t in terms})
         return self.lookup(lambda t: t.isin(*lowered), lowered)
@@ -159,6 +190,8 @@ def _store(texts: DataFrame, removed: DataFrame | None, path: str, kind: str, fi
         return
     version = commits.claim()
     write_postings(build_postings(texts, field), f"{path}/postings/version={version}", n_buckets)
+    written = texts.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings/version={version}")
+    write_terms(written, f"{path}/terms/version={version}")
     doc_stats(texts, field).write.mode("overwrite").partitionBy("field").parquet(f"{path}/stats/version={version}")
     replaced = texts.select("id") if removed is None else texts.select("id").union(removed.select("id"))
     replaced.write.mode("overwrite").parquet(f"{path}/replaced/version={version}")

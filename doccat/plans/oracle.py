@@ -283,6 +283,33 @@ ORACLES["page_state"] = """SELECT event_id, new_offset, new_offset > 250 AS next
 FROM (SELECT event_id, num, CAST(CASE event_type WHEN 'view' THEN event_id % 300 + num
   WHEN 'click' THEN greatest(0, event_id % 300 - num) ELSE 0 END AS BIGINT) AS new_offset
  FROM (SELECT *, CASE WHEN user_id % 2 = 0 THEN 20 ELSE 50 END AS num FROM events) e) s"""
+_ASKED = r"""asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS term FROM benchmark)"""
+
+
+def _ranked(tokens: str, field: str) -> str:
+    """Term frequencies and lengths of a field, with the BM25 part of each word of a document."""
+    return f"""{field}_stats AS (SELECT id, count(*) AS n_terms FROM {tokens} GROUP BY id),
+ {field}_totals AS (SELECT count(*) AS n, avg(n_terms) AS avg_terms FROM {field}_stats),
+ {field}_tfs AS (SELECT id, term, count(*) AS tf FROM {tokens} GROUP BY id, term),
+ {field}_dfs AS (SELECT term, count(*) AS df FROM {field}_tfs GROUP BY term),
+ {field}_parts AS (SELECT t.id, t.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n_terms / avg_terms)) AS part
+  FROM {field}_tfs t JOIN {field}_dfs USING (term) JOIN {field}_stats s ON s.id = t.id CROSS JOIN {field}_totals)"""
+
+
+ORACLES["search_batch"] = f"""WITH {FILES}, {TOKENS}, {_ASKED}, {_ranked('tokens', 'body')}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(sum(part), 6) AS score FROM asked JOIN body_parts USING (term) GROUP BY query_id, id) s) r WHERE rank <= 10"""
+ORACLES["search_batch_bool"] = rf"""WITH {CATALOG}, {TOKENS}, {_ASKED}, {_ranked('tokens', 'body')},
+ words AS (SELECT id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS term FROM catalog), {_ranked('words', 'title')},
+ clauses AS (SELECT query_id, term, CASE WHEN length(term) <= 2 THEN 'must' WHEN length(term) >= 9 THEN 'must_not' ELSE 'should' END AS occur FROM asked),
+ hits AS (SELECT query_id, id, occur, part FROM clauses JOIN body_parts USING (term)
+  UNION ALL SELECT item_id, id, 'should', part FROM benchmark JOIN title_parts
+   ON term = CASE item_id % 3 WHEN 0 THEN 'report' WHEN 1 THEN 'letter' ELSE 'note' END),
+ needed AS (SELECT query_id, count(*) FILTER (occur = 'must') AS n_must FROM clauses GROUP BY query_id)
+SELECT query_id, id, round(sum(part) FILTER (occur <> 'must_not'), 6) AS score FROM hits JOIN needed USING (query_id) GROUP BY query_id, id, n_must
+HAVING count(*) FILTER (occur = 'must') = n_must AND count(*) FILTER (occur = 'must_not') = 0
+ AND (n_must > 0 OR count(*) FILTER (occur = 'should') > 0)"""
 ORACLES["search_hits"] = f"WITH {FILES}, {TOKENS} SELECT count(DISTINCT id) AS num_found FROM tokens WHERE term IN ('the', 'und')"
 ORACLES["search_facets"] = _search(f"""SELECT field, value, count(*) AS n FROM (
  SELECT 'concern' AS field, concern AS value {_THE} UNION ALL SELECT 'doctype', doctype {_THE}

@@ -12,12 +12,14 @@ from doccat.functions import metadata as M
 from doccat.functions import paths as P
 from doccat.functions import props as B
 from doccat.functions import text as X
+from doccat.operators import batch as OB
 from doccat.operators import metadata as OM
 from doccat.operators import postings as OP
 from doccat.operators import routing as OR
 from doccat.operators import search as Q
 from doccat.operators import sync as OS
 from doccat.operators import triage as OT
+from doccat.operators.postings import TextIndex
 from doccat.plans import inputs as I
 from doccat.plans import search as PS
 from doccat.plans.ingest import pending
@@ -497,6 +499,31 @@ def score_bm25_top(spark, sf):
     return Q.top_ranked(Q.score_bm25(_index(spark, sf), "the reaux nicht"), 10)
 
 
+def _asked(spark, sf) -> DataFrame:
+    return I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query
+def search_batch(spark, sf):
+    """Every benchmark text as a query of optional words."""
+    return OB.search_batch(_index(spark, sf), OB.clauses_of(_asked(spark, sf)), 10)
+
+
+@query
+def search_batch_bool(spark, sf):
+    """Short words of the benchmark texts are required, long ones forbidden; titles are searched for the same words."""
+    size = F.length("term")
+    occur = F.when(size <= 2, OB.MUST).when(size >= 9, OB.MUST_NOT).otherwise(OB.SHOULD)
+    rows, index = I.stored(spark, sf)
+    titles = TextIndex(rows.select("id", "title"), field="title")
+    asked = _asked(spark, sf)
+    kind = F.get(F.array(F.lit("report"), F.lit("letter"), F.lit("note")), (F.col("query_id") % 3).cast("int"))
+    of_titles = OB.clauses_of(asked.withColumn("query", kind), field="title")
+    return OB.match_batch([index, titles], OB.clauses_of(asked, occur=occur).unionByName(of_titles)).select(
+        "query_id", "id", F.round("score", 6).alias("score")
+    )
+
+
 def _the(spark, sf) -> DataFrame:
     rows, index = I.stored(spark, sf)
     return Q.documents(rows, Q.match_terms(index, "the"))
