@@ -195,3 +195,28 @@ def as_feed(feed: DataFrame) -> DataFrame:
     return with_ids(feed, SETTINGS).withColumn(
         "checksum", F.when(F.col("op") != "unlink", F.md5(F.concat_ws("|", "path", F.col("seq").cast("string")).cast("binary")))
     )
+
+
+def on_disk(files: DataFrame, root: str) -> int:
+    """Write ``text`` of each row to its ``path`` below ``root``, or remove the file where text is null; gives their number."""
+
+    def write(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        scheme, host, rest = re.match(r"(?s)^(?:(\w+):(//[^/]*)?)?(/.*)$", root).groups()
+        store, base = (fs.LocalFileSystem(), "") if scheme in (None, "file") else fs.FileSystem.from_uri(f"{scheme}:{host or '//'}/")
+        top = base.rstrip("/") + rest
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is None:
+                    store.delete_file(top + path)
+                    continue
+                store.create_dir((top + path).rpartition("/")[0], recursive=True)
+                with store.open_output_stream(top + path) as file:
+                    file.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    return files.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

@@ -352,6 +352,34 @@ ORACLES["stream_ingest"] = _catalog(f"""SELECT doc_id, id, title, CASE WHEN sour
  checksum, md5(trim(text, {SPACES})) AS contents_md5 FROM catalog WHERE doc_id % 13 <> 0""")
 ORACLES["stream_route"] = ORACLES["route_plan"]
 
+# --- a collection that follows its files -------------------------------------------------
+
+
+def _followed(origin: str, seen: str, more: str = "") -> str:
+    """Rows of documents as ``seen`` leaves them: ``now`` (text, null if removed), ``version``, ``archived``, ``origin``."""
+    date = f"CASE WHEN regexp_matches({_BASE}, '{LEADING}') THEN {_LEADING_DATE} END"
+    found = "coalesce(list_contains(regexp_extract_all(lower(now), '[\\p{L}\\p{M}\\p{N}_]+'), '%s'), false)"
+    return f"""WITH {FILES}{more}, seen AS ({seen})
+SELECT md5(path) AS id, substr(path, 2) AS loc, coalesce(nullif(regexp_extract(path, '{CONCERN}', 0), ''), {_PARENT}) AS concern,
+ {_STEM} AS title, {date} AS date_text, {origin} AS origin, md5(held) AS checksum,
+ CASE WHEN now IS NULL THEN 'true' END AS deleted, CAST(version AS BIGINT) AS version,
+ {found % 'the'} AS has_the, {found % 'edited'} AS has_edited, CAST(archived AS BIGINT) AS archived FROM seen"""
+
+
+ORACLES["rescan"] = _followed("CAST(NULL AS VARCHAR)", """SELECT path,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 2 THEN NULL WHEN doc_id % 7 = 1 THEN text || ' edited' ELSE text END AS now,
+ CASE WHEN doc_id % 7 = 1 THEN text || ' edited' ELSE text END AS held,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 1 THEN 2 ELSE 1 END AS version,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 1 THEN 1 ELSE 0 END AS archived FROM catalog_paths""")
+ORACLES["change_feed_on_catalog"] = _followed("origin", """SELECT path, origin, CASE WHEN op = 'unlink' THEN NULL ELSE held END AS now, held, version, archived FROM (
+ SELECT p.path, op, CASE WHEN changed THEN 'watcher' END AS origin, CASE WHEN changed THEN text || ' edited' ELSE text END AS held,
+  CASE WHEN changed THEN 2 ELSE 1 END AS version, CASE WHEN changed THEN 1 ELSE 0 END AS archived
+ FROM (SELECT c.*, l.op, coalesce(l.op <> 'unlink', false) AND doc_id % 3 = 0 AS changed FROM catalog_paths c LEFT JOIN last l ON l.id = md5(c.path)) p) r""",
+    f", {_LAST}")
+ORACLES["import_errors"] = f"""WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 9 <> 4 THEN strlen(text) END AS length,
+ CASE WHEN doc_id % 9 <> 4 AND strlen(text) <= 10000 THEN md5(text) END AS checksum,
+ CASE WHEN doc_id % 9 = 4 THEN 'vanished' WHEN strlen(text) > 10000 THEN 'too large' END AS error FROM catalog_paths"""
+
 # --- text recognition --------------------------------------------------------------------
 
 _RUNS = """(SELECT event_id, CASE WHEN k % 16 = 11 THEN 130 ELSE k % 16 END AS code FROM

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from doccat.operators import sync as OS
 from doccat.operators import triage as OT
 from doccat.operators.postings import TextIndex
 from doccat.plans import inputs as I
+from doccat.plans import reconcile as PR
 from doccat.plans import search as PS
 from doccat.plans.ingest import pending
 from doccat.session import shared_folder
@@ -705,6 +707,58 @@ def stream_route(spark, sf):
     return spark.read.parquet(out)
 
 
+# --- a collection that follows its files ------------------------------------------------
+
+def _collection(spark) -> PR.Collection:
+    folder = shared_folder(spark, "collection")
+    return PR.Collection(spark, f"{folder}/tables", replace(I.SETTINGS, root=f"{folder}/files"), parts=8, buckets=8)
+
+
+def _contents(to: PR.Collection) -> DataFrame:
+    """What the tables hold, with the documents that a search finds."""
+    index = to.index()
+    hits = [Q.match_terms(index, w).withColumn(f"has_{w}", F.lit(True)) for w in ("the", "edited")]
+    noted = to.versions().groupBy("id").agg(F.count(F.lit(1)).alias("archived"))
+    rows = to.rows(tombstones=True).join(hits[0], "id", "left").join(hits[1], "id", "left").join(noted, "id", "left")
+    return rows.select(
+        "id", "loc", "concern", "title", "date_text", "origin", "checksum", "deleted", "version",
+        *(F.coalesce(c, F.lit(False)).alias(c) for c in ("has_the", "has_edited")), F.coalesce("archived", F.lit(0).cast("bigint")).alias("archived"),
+    )
+
+
+@query
+def rescan(spark, sf):
+    """A folder of four fifths of the documents; then the rest is added, some are edited, some removed, and it is walked again."""
+    to, rows = _collection(spark), I.paths(spark, sf)
+    I.on_disk(rows.where("doc_id % 5 <> 0"), to.settings.root)
+    PR.rescan(to, to.settings.root, as_of=I.as_of())
+    edited = F.when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit(" edited"))).when(F.col("doc_id") % 5 == 0, F.col("text"))
+    I.on_disk(rows.where("doc_id % 5 = 0 OR doc_id % 7 IN (1, 2)").withColumn("text", edited), to.settings.root)
+    PR.rescan(to, to.settings.root, as_of=I.as_of())
+    return _contents(to)
+
+
+@query
+def change_feed_on_catalog(spark, sf):
+    """The events as a change feed over a full catalogue, with a third of the files edited meanwhile."""
+    to, rows = _collection(spark), I.paths(spark, sf)
+    I.on_disk(rows, to.settings.root)
+    PR.rescan(to, to.settings.root, as_of=I.as_of())
+    I.on_disk(rows.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" edited"))), to.settings.root)
+    feed = I.changes(spark, sf).withColumn("ts", F.col("ts") + F.expr("interval 10 years"))
+    PR.apply_feed(to, feed.withColumn("path", F.concat(F.lit(to.settings.root), "path")), as_of=I.as_of())
+    return _contents(to)
+
+
+@query
+def import_errors(spark, sf):
+    """Files that vanished or are too large give their reason and cost no other document anything."""
+    root, rows = shared_folder(spark, "files"), I.paths(spark, sf)
+    I.on_disk(rows.where("doc_id % 9 <> 4"), root)
+    read = SF.read_files(rows.select("doc_id", F.concat(F.lit(root), "path").alias("path")), most_bytes=10_000)
+    return read.select("doc_id", "length", F.md5("content").alias("checksum"), F.col("read_error").alias("error"))
+
+
 # --- text recognition -------------------------------------------------------------------
 
 @query
