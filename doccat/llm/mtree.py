@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,59 +161,71 @@ def trees(placed: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """The pages of one tree, ready to be searched; ``computed`` counts the inner products that a search needed."""
+    """The pages of one tree, ready to be searched; ``computed`` counts the inner products that searches needed."""
 
     def __init__(self, pages: list[dict]):
         self.pages = {p["page"]: p | {k: np.array(p[k]) for k in ("least", "child", "far", "radii")} | {"x": matrix(p["vecs"])} for p in pages}
-        self.root = self.pages[0]
-        self.root["at"] = matrix([self.root["pivot"]])
-        self.top, self.computed = self.root["top"], 0
-
-    def best(self, q: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int, bytes]]:
-        """(score, -least, node) of the ``k`` best vectors, none below ``floor``; ties go to the smaller ``least``.
-
-        Pages wait in a heap by the greatest score they may hold. An entry whose
-        distance to the pivot of its page tells that it is too far, with its
-        radius, is passed over without an inner product.
+        root = self.pages[0]
+        self.pivot, self.radius, self.top, self.computed = matrix([root["pivot"]]), root["radius"], root["top"], 0
+        self.nodes = [n for p in self.pages.values() for n in p["nodes"]]
+        first = 0
+        for p in self.pages.values():
+            p["first"] = first
+            first += len(p["nodes"])
+
+    def best(self, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry of ``nodes``, score): the ``k`` best vectors of each query, none below its floor; ties go to the smaller ``least``.
+
+        Each query opens its waiting page of the greatest score that it may
+        hold, all queries at a time, and those that open the same page share its
+        entries. An entry whose distance to the pivot of its page tells that it
+        is too far, with its radius, is passed over without an inner product.
         """
-        square = float((q.astype(float) ** 2).sum())
-        whole = square + self.top
+        q, n = queries.astype(float), len(queries)
+        whole = (q * q).sum(axis=1) + self.top
         slack = 1e-9 * whole + 1e-6
-
-        def most(distance: np.ndarray) -> np.ndarray:
-            return (whole - np.maximum(0, distance) ** 2) / 2 + slack
-
-        held: list[tuple[int, int, bytes]] = []
-        limit = -np.inf if floor is None else floor
-        away = np.sqrt(max(0.0, whole - 2 * float(dot(self.root["at"], q)[0])))
-        heap = [(-float(most(away - self.root["radius"])), 0, float(away))]
-        self.computed += 1
-        while heap:
-            bound, number, away = heapq.heappop(heap)
-            if -bound < limit:
-                break
-            page = self.pages[number]
-            near = np.flatnonzero(most(np.abs(away - page["far"]) - page["radii"]) >= limit)
-            if not len(near):
-                continue
-            scores = dot(page["x"][near], q)
-            self.computed += len(near)
-            if page["leaf"]:
-                for i in np.flatnonzero(scores >= limit).tolist():
-                    e = near[i]
-                    entry = (int(scores[i]), -int(page["least"][e]), page["nodes"][e])
-                    if len(held) < k:
-                        heapq.heappush(held, entry)
-                    elif entry > held[0]:
-                        heapq.heapreplace(held, entry)
-                if len(held) == k:
-                    limit = max(limit, held[0][0])
-                continue
-            distance = np.sqrt(np.maximum(0, whole - 2 * scores.astype(float)))
-            bounds = most(distance - page["radii"][near])
-            for i in np.flatnonzero(bounds >= limit).tolist():
-                heapq.heappush(heap, (-float(bounds[i]), int(page["child"][near[i]]), float(distance[i])))
-        return held
+        limit = floors.astype(float)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # query, entry, score, least
+        away = np.sqrt(np.maximum(0, whole - 2 * dot(queries, self.pivot[0]).astype(float)))
+        self.computed += n
+        bound = (whole - np.maximum(0, away - self.radius) ** 2) / 2 + slack
+        waiting = (np.arange(n), np.zeros(n, np.int64), bound, away)
+        while len(waiting[0]):
+            waiting = tuple(c[waiting[2] >= limit[waiting[0]]] for c in waiting)
+            order = np.lexsort((-waiting[2], waiting[0]))
+            waiting = tuple(c[order] for c in waiting)
+            now = np.ones(len(order), bool)
+            now[1:] = waiting[0][1:] != waiting[0][:-1]
+            asked, opened, _, distance = (c[now] for c in waiting)
+            later, fresh = [tuple(c[~now] for c in waiting)], [held]
+            for number in np.unique(opened).tolist():
+                page, own = self.pages[number], asked[opened == number]
+                gap = np.maximum(0, np.abs(distance[opened == number][:, None] - page["far"]) - page["radii"])
+                fits = (whole[own, None] - gap**2) / 2 + slack[own, None] >= limit[own, None]
+                rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+                if not len(rows):
+                    continue
+                scores = dot(queries[own[rows]], page["x"][columns].T)
+                self.computed += scores.size
+                own = own[rows]
+                if page["leaf"]:
+                    r, c = np.nonzero(scores >= limit[own, None])
+                    fresh.append((own[r], page["first"] + columns[c], scores[r, c].astype(np.int64), page["least"][columns[c]]))
+                    continue
+                far = np.sqrt(np.maximum(0, whole[own, None] - 2 * scores.astype(float)))
+                most = (whole[own, None] - np.maximum(0, far - page["radii"][columns]) ** 2) / 2 + slack[own, None]
+                r, c = np.nonzero(most >= limit[own, None])
+                later.append((own[r], page["child"][columns[c]].astype(np.int64), most[r, c], far[r, c]))
+            if len(fresh) > 1:
+                held = tuple(np.concatenate(c) for c in zip(*fresh, strict=True))
+                order = np.lexsort((held[1], held[3], -held[2], held[0]))
+                held = tuple(c[order] for c in held)
+                place = np.arange(len(order)) - np.searchsorted(held[0], held[0])
+                held = tuple(c[place < k] for c in held)
+                last = np.flatnonzero(place[place < k] == k - 1)
+                limit[held[0][last]] = np.maximum(limit[held[0][last]], held[2][last])
+            waiting = tuple(np.concatenate(c) for c in zip(*later, strict=True))
+        return held[0], held[1], held[2]
 
 
 # --- search -----------------------------------------------------------------------
@@ -233,14 +244,13 @@ def visited(visits: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     asked = pages.join(tasks, ["shard", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            tree = Tree(right.to_pylist())
-            queries = matrix(left.column("vec").to_pylist())
-            for name, q, floor in zip(left.column("query").to_pylist(), queries, left.column("floor").to_pylist(), strict=True):
-                out += [(name, node, score) for score, _, node in tree.best(q, k, floor)]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "node", "score"), columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)})
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], pa.binary()), "node": pa.array([], pa.binary()), "score": pa.array([], pa.int64())})
+        tree, names = Tree(right.to_pylist()), np.array(left.column("query").to_pylist() + [None], object)
+        floors = np.array([-np.inf if f is None else f for f in left.column("floor").to_pylist()])
+        query, entry, score = tree.best(matrix(left.column("vec").to_pylist()), k, floors)
+        nodes = np.array([*tree.nodes, None], object)
+        return pa.table({"query": pa.array(names[query], pa.binary()), "node": pa.array(nodes[entry], pa.binary()), "score": pa.array(score, pa.int64())})
 
     keys = ["shard", "part", "chunk"]
     return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, FOUND)

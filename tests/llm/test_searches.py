@@ -81,11 +81,12 @@ def test_bounds_save_inner_products():
         below = [pages[c] for c in p["child"]] if not p["leaf"] else []
         assert all(len(b["far"]) <= mtree.PAGE for b in below)
     tree = mtree.Tree(pages)
-    for q in x[:50].astype(float):
-        found = sorted(tree.best(q, 6, None), reverse=True)
-        scores = x @ q.astype(np.int64)
-        want = np.lexsort((np.arange(len(x)), -scores))[:6]
-        assert [(s, -m) for s, m, _ in found] == [(int(scores[i]), int(i)) for i in want]
+    names = {v: i for i, v in enumerate(vecs)}
+    want = [np.lexsort((np.arange(len(x)), -(x @ q)))[:6] for q in x[:50]]
+    for group in (range(50), [7]):
+        query, entry, score = tree.best(x[list(group)].astype(float), 6, np.full(len(group), -np.inf))
+        got = [(group[i], names[tree.nodes[e]], s) for i, e, s in zip(query, entry, score, strict=True)]
+        assert got == [(i, j, x[i] @ x[j]) for i in group for j in want[i]]
     assert tree.computed < 0.3 * 50 * len(x)
 
 
