@@ -215,7 +215,7 @@ def on_disk(files: DataFrame, root: str) -> int:
                     store.delete_file(top + path)
                     continue
                 store.create_dir((top + path).rpartition("/")[0], recursive=True)
-                with store.open_output_stream(top + path) as file:
+                with store.open_output_stream(top + path, compression=None) as file:
                     file.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 

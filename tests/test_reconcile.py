@@ -102,9 +102,11 @@ def test_a_job_that_died_is_run_again(spark, root, tmp_path, monkeypatch):
 
 
 def test_one_failure_costs_one_document(spark, root):
-    rows = spark.createDataFrame([(f"{root}/{p}",) if p else (None,) for p in ("a/one 1.txt", "none", "a", "a/two.txt", None)], "path string")
+    put(root, "a/x.gz", "as it is")
+    rows = spark.createDataFrame([(f"{root}/{p}",) if p else (None,) for p in ("a/one 1.txt", "none", "a", "a/two.txt", "a/x.gz", None)], "path string")
     got = {(r.path or "").removeprefix(root): (bytes(r.content) if r.content else None, r.read_error) for r in read_files(rows, most_bytes=9).collect()}
     assert got["/a/one 1.txt"] == (b"red apple", None) and got["/none"] == (None, "vanished") and got["/a/two.txt"] == (None, "too large")
+    assert got["/a/x.gz"] == (b"as it is", None)
     assert got["/a"][1].startswith("unreadable") and got[""][1].startswith("unreadable")
 
 
