@@ -19,8 +19,8 @@ from doccat.llm.hashing import LOWER, STEP, Words, mix, powers
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: Documents are dealt into parts by hash; so many parts are the sample, and what that holds this often is proposed.
 PARTS, SAMPLED, PROPOSED = 64, 4, 2
-#: Text for each bucket of the counts.
-BUCKET_BYTES = 8 * 1024 * 1024
+#: Text that a task counts at a time, and text for each bucket of the counts.
+GATHER_BYTES, BUCKET_BYTES = 8 * 1024 * 1024, 8 * 1024 * 1024
 #: Bits of a filter for each phrase, and at most: 16 MB to broadcast, whatever the corpus. It has one slice for the first ten bits of a hash.
 KEY_BITS, MOST_BITS, SLICES = 16, 2**27, 1024
 #: A language's phrases are dealt into so many groups that each find their first rows.
@@ -216,13 +216,13 @@ PACKED = "bucket long, size int, a binary, b binary, n binary, part binary"
 def counted(rows: DataFrame, buckets: int, filters: list[Broadcast], longest: int, least: int) -> DataFrame:
     """``size, a, b, n, part`` of the phrases that the last filter is first to propose, as far as they occur ``least`` times.
 
-    Counts of 16 MB of text go to the buckets of the phrases' hashes, packed,
+    Counts of ``GATHER_BYTES`` of text go to the buckets of the phrases' hashes, packed,
     with one record for each phrase, however frequent it is. Phrases are told
     apart by 96 bits. ``part`` is the least part of the corpus that has the phrase.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in gathered(batches):
+        for held in gathered(batches, GATHER_BYTES):
             texts = Texts(held)
             for size, own, a, b, fresh in texts.phrases(longest, [f.value for f in filters]):
                 at = np.flatnonzero(fresh)
@@ -307,7 +307,7 @@ def named(rows: DataFrame, found: DataFrame, last: Broadcast, longest: int) -> t
     wanted = filter_of(found, parts=True)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in gathered(batches):
+        for held in gathered(batches, GATHER_BYTES):
             texts = Texts(held)
             langs = list(texts.langs)
             yield batch_of([0] * len(texts.totals), [0] * len(texts.totals), list(texts.totals), [None] * len(texts.totals), list(texts.totals.values()))
