@@ -125,6 +125,17 @@ def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(np.add.reduceat(SECOND[data[np.repeat(starts, size) + place]] * powers(int(size.max()))[place], heads))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a place of each, and the number of the key at each place."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    at = order[new]
+    return keys[at], at, number
+
+
 class Phrases:
     """Phrases of one length in a gathering of texts: for each place its phrase or -1, and of each phrase hashes, count, least part, a place."""
 
@@ -139,6 +150,16 @@ class Phrases:
         self.count = np.diff(np.append(heads, len(keys)))
         self.part = np.minimum.reduceat(part[places[order]], heads) if len(heads) else np.zeros(0, part.dtype)
 
+    @classmethod
+    def words(cls, number: np.ndarray, kinds: int, part: np.ndarray) -> Phrases:
+        """Words that are numbered already."""
+        own = cls.__new__(cls)
+        own.places, own.of, own.count = np.arange(len(number)), number, np.bincount(number, minlength=kinds)
+        own.at, own.part = np.empty(kinds, np.int64), np.full(kinds, 255, np.uint8)
+        own.at[number] = own.places
+        np.minimum.at(own.part, number, part)
+        return own
+
 
 class Texts:
     """Words of texts: ``words`` numbers them, by language; ``joins`` tells where the next word is in the same piece."""
@@ -157,7 +178,7 @@ class Texts:
             salt = np.array([salts(x) for x in names], np.uint64).reshape(-1, 2)
             for name, n in zip(names, np.diff(words.first).tolist(), strict=True):
                 self.totals[name] = self.totals.get(name, 0) + n
-            own, first, number = np.unique(mix(words.hashes + salt[rows, 0]), return_index=True, return_inverse=True)
+            own, first, number = numbered(mix(words.hashes + salt[rows, 0]))
             keys.append(own)
             others.append(mix(second_hashes(data, starts[first], ends[first]) + salt[rows[first], 1]) & LOW)
             langs.append(codes[rows[first]])
@@ -170,7 +191,7 @@ class Texts:
             joins.append(join)
             parts.append(batch.column("part").to_numpy().astype(np.uint8)[rows])
             self.data.append(data)
-        self.a, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.a, first, number = numbered(np.concatenate(keys))
         self.b, self.lang, self.spans = np.concatenate(others)[first], np.concatenate(langs)[first], np.concatenate(spans)[first]
         self.words, self.joins, self.parts = number[np.concatenate(numbers)], np.concatenate(joins), np.concatenate(parts)
 
@@ -180,7 +201,7 @@ class Texts:
         A filter proposes a phrase if it has all parts of it. Without filters everything is proposed.
         """
         n = len(self.words)
-        own, a, b = Phrases(np.arange(n), self.words, n, self.parts), self.a, self.b
+        own, a, b = Phrases.words(self.words, len(self.a), self.parts), self.a, self.b
         known = [f.has(a, b) for f in filters]
         yield 1, own, a, b, np.full(len(a), len(filters) <= 1)
         for length in range(2, longest + 1):
@@ -301,8 +322,8 @@ def frequent(rows: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
 def named(rows: DataFrame, found: DataFrame, last: Broadcast, longest: int) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of the phrases found, and ``lang, n`` of all words.
 
-    Only texts of the part that a phrase is noted with tell its words, so a
-    phrase of any frequency is named by a few of them.
+    Only where a text of the part that a phrase is noted with is among those
+    looked at, the phrase is named, so few name a phrase of any frequency.
     """
     wanted = filter_of(found, parts=True)
 
@@ -312,13 +333,12 @@ def named(rows: DataFrame, found: DataFrame, last: Broadcast, longest: int) -> t
             langs = list(texts.langs)
             yield batch_of([0] * len(texts.totals), [0] * len(texts.totals), list(texts.totals), [None] * len(texts.totals), list(texts.totals.values()))
             for size, own, a, b, _ in texts.phrases(longest, [last.value]):
-                pairs, first = np.unique(own.of[own.places] * PARTS + texts.parts[own.places], return_index=True)
-                number, part = pairs // PARTS, pairs % PARTS
-                at = np.flatnonzero(wanted.value.has(of_part(a[number], part), b[number]))
-                place = own.places[first[at]]
+                # the part that is to name a phrase is its least one, so it can only be the least one here
+                at = np.flatnonzero(wanted.value.has(of_part(a, own.part), b))
+                place = own.at[at]
                 phrase = [texts.text(p, size).decode() for p in place.tolist()]
                 lang = [langs[c] for c in texts.lang[texts.words[place]].tolist()]
-                yield batch_of(a[number[at]].view(np.int64), b[number[at]].view(np.int64), lang, phrase, [0] * len(at))
+                yield batch_of(a[at].view(np.int64), b[at].view(np.int64), lang, phrase, [0] * len(at))
 
     def batch_of(a, b, lang, phrase, n) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
