@@ -1,4 +1,4 @@
-"""Connected components of link tables, as joins and minima."""
+"""Connected components of link tables, by contraction."""
 
 from __future__ import annotations
 
@@ -11,22 +11,28 @@ from doccat.llm.common import stored
 def components(links: DataFrame, name: str) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``links`` (``a, b``).
 
-    Every round each node takes the smallest label among its own and its
-    neighbours', and then the label of its label, which halves the way to the
-    root. Minima are reduced before the shuffle, so a node with very many
-    neighbours is no burden. Each round's labels are a stored table.
+    Every round hooks each node to the smallest of itself and its neighbours.
+    Both ends of the links are then renamed by that, and links that have become
+    loops or repeats go, so the next round works on a fraction of them; in the
+    end the hooks are followed back. Minima are reduced before the shuffle, so a
+    node with very many neighbours is no burden. Nodes should be hashes: a long
+    chain in the order of its nodes would shorten by one a round.
     """
-    links = links.where("a <> b")
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), f"{name}-labels")
+    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = stored(edges, f"{name}-links")
+    hooks = []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        both = edges.union(edges.select("b", "a"))
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"))
+        hooks.append(stored(hook, f"{name}-hooks"))
+        hook_a, hook_b = (hooks[-1].select(F.col("node").alias(end), F.col("component").alias(f"to_{end}")) for end in "ab")
+        renamed = edges.join(hook_a, "a").join(hook_b, "b").where("to_a <> to_b")
+        edges = stored(renamed.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{name}-links")
+        if edges.isEmpty():
+            break
+    labels = hooks.pop()
+    while hooks:
         root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = stored(
-            lower.join(root, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")),
-            f"{name}-labels",
-        )
-        labels = jumped.select("node", "component")
-        if jumped.where("old <> component").isEmpty():
-            return labels
+        joined = hooks.pop().join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        labels = stored(joined, f"{name}-labels")
+    return labels
