@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccat.llm.blobs import groups_of
@@ -24,8 +24,8 @@ LEVELS = 4
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
 #: Recall that the audit wants; below it the search is done again with twice the overlap and beam.
 RECALL = 0.98
-#: Audit: one vector in so many is asked, vectors at least, links to see at least; vectors compared at a time, in bytes.
-AUDIT_SHARE, AUDIT_QUERIES, AUDIT_LINKS, BLOCK_BYTES = 50, 512, 200, 8_000_000
+#: Audit: one vector in so many is asked, vectors at least, and so many planted ones; vectors compared at a time, in bytes.
+AUDIT_SHARE, AUDIT_QUERIES, PLANTED, BLOCK_BYTES = 50, 512, 256, 8_000_000
 
 
 def classes(embeddings: DataFrame) -> DataFrame:
@@ -356,7 +356,9 @@ def searched(shards: DataFrame, united: DataFrame, cosine: float, beam: int) ->
     return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def visited(vectors: DataFrame, shards: DataFrame, found: DataFrame, cosine: float, most: int = 20_000) -> DataFrame:
+def visited(
+    vectors: DataFrame, shards: DataFrame, found: DataFrame, cosine: float, missed: DataFrame | None = None, most: int = 20_000
+) -> DataFrame:
     """``node, near`` with the links across shards: every node is compared with all shards that hold one of its links.
 
     A node that is in range of a member of a shard it doesn't lie in visits that
@@ -364,9 +366,18 @@ def visited(vectors: DataFrame, shards: DataFrame, found: DataFrame, cosine: flo
     member's neighbours in the united graph. What is found sends nodes to
     further shards, until none has anywhere left to go. At most ``most``
     visitors of a shard share a task.
+
+    Links that the search has ``missed`` send their nodes too, and shards that
+    hold an end of one are compared with themselves.
     """
     placed = shards.select("node", "shard")
     every, seen, fresh = found, placed, found
+    if missed is not None:
+        ends = missed.select("node").union(missed.select(F.explode("near").alias("node"))).distinct()
+        wanting = stored(placed.join(ends, "node", "left_semi").select("shard").distinct(), "wanting")
+        members = placed.join(wanting, "shard", "left_semi").select("node", F.array("node").alias("near"))
+        seen = placed.join(wanting, "shard", "left_anti").select("node", "shard")
+        fresh = found.unionByName(members).unionByName(missed)
     while True:
         pairs = fresh.select("node", F.explode("near").alias("other"))
         reached = pairs.join(placed.withColumnRenamed("node", "other"), "other").select("node", "shard").distinct()
@@ -383,18 +394,42 @@ def visited(vectors: DataFrame, shards: DataFrame, found: DataFrame, cosine: flo
                 return pa.table({"node": pa.array([], pa.binary()), "near": pa.array([], pa.list_(pa.binary()))})
             guests, hosts = (np.array(t.column("node").to_pylist(), object) for t in (left, right))
             row, at = close_pairs(units(left.column("vec")), units(right.column("vec")), cosine)
+            different = guests[row] != hosts[at]
+            row, at = row[different], at[different]
             return pa.Table.from_batches([listed(row, guests, hosts[at]), listed(at, hosts, guests[row])])
 
         fresh = stored(visitors.groupBy("shard", "salt").cogroup(members.groupBy("shard", "salt")).applyInArrow(compare, LINKED), "near")
         every, seen = every.unionByName(fresh), seen.unionByName(visits.select("node", "shard"))
 
 
-def compared(vectors: DataFrame, cosine: float, share: int) -> DataFrame:
-    """``node, near``: true links of one in ``share`` vectors (by hash), each compared with all vectors.
+def planted(vectors: DataFrame, most: int = PLANTED) -> DataFrame:
+    """``node, vec``: copies of ``most`` vectors, each moved by a fifth of its length: cosine 0.979 or more with its original.
+
+    An audit sees links by them in any table. Their nodes are longer than those of vectors.
+    """
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, vecs = batch.column("node").to_pylist(), []
+            for node, vec in zip(nodes, batch.column("vec").to_pylist(), strict=True):
+                x = units(pa.array([vec], pa.binary()))[0]
+                noise = np.random.default_rng(list(node)).normal(size=len(x))
+                vecs.append((x + 0.2 * noise / np.sqrt((noise * noise).sum())).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b"planted" + n for n in nodes], pa.binary()), pa.array(vecs, pa.binary())], names=["node", "vec"])
+
+    chosen = vectors.select("node", "vec").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(most)
+    return chosen.mapInArrow(move, "node binary, vec binary")
+
+
+def is_planted(node: str | Column) -> Column:
+    return F.octet_length(node) > 16
+
+
+def compared(vectors: DataFrame, asked: DataFrame, cosine: float) -> DataFrame:
+    """``node, near``: true links of the vectors ``asked``, each compared with all vectors.
 
     The vectors asked for are broadcast ``BLOCK_BYTES`` at a time, whatever their number.
     """
-    asked = vectors.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(share)) == 0)
     blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("vec"))).first()[0] or 0) // BLOCK_BYTES))
     out = None
     for block in range(blocks):
@@ -423,64 +458,73 @@ def compared(vectors: DataFrame, cosine: float, share: int) -> DataFrame:
     return out.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"))
 
 
-def recall(true: DataFrame, found: DataFrame) -> float:
-    """Share of the true links that the search has found: over all of them or as the mean of the nodes, whichever is less."""
+def judged(true: DataFrame, found: DataFrame) -> tuple[float | None, DataFrame]:
+    """Share of the true links that the search has found, and what it has missed (``node, near``).
+
+    The share is that over all links or the mean of the nodes, whichever is less; null if there is no link.
+    """
     pairs = true.join(found.withColumnRenamed("near", "seen"), "node", "left")
-    hit = F.size(F.array_intersect("near", F.coalesce("seen", F.array().cast("array<binary>"))))
-    row = pairs.select(hit.alias("hit"), F.size("near").alias("all")).agg((F.sum("hit") / F.sum("all")).alias("links"), F.avg(F.col("hit") / F.col("all")).alias("nodes")).first()
-    return min(row.links, row.nodes)
+    missed = pairs.select("node", F.size("near").alias("all"), F.array_except("near", F.coalesce("seen", F.array().cast("array<binary>"))).alias("near"))
+    missed = stored(missed, "missed")
+    hit = F.col("all") - F.size("near")
+    row = missed.agg((F.sum(hit) / F.sum("all")).alias("links"), F.avg(hit / F.col("all")).alias("nodes")).first()
+    return None if row.links is None else min(row.links, row.nodes), missed.where(F.size("near") > 0).select("node", "near")
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, rounds: int = 3) -> DataFrame:
-    """``node, near`` for distinct vectors; searched again with twice the overlap and beam while the audit finds too little.
+def links(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, beam: int = BEAM, rounds: int = 3) -> tuple[DataFrame, float | None]:
+    """``node, near`` for distinct vectors, and the recall of the last search; it is repeated with twice the overlap and beam while that is too low.
 
     The audit asks one vector in ``AUDIT_SHARE``, but ``AUDIT_QUERIES`` at least, and
-    more of them until it sees ``AUDIT_LINKS`` links: fewer say nothing about
-    the search. If that takes all vectors, or if the last round still falls
-    short, all vectors are compared with all, and that is the result.
+    planted ones, which lie in the graph like all others and are not given out:
+    tables of few links are judged by these. If the last search still falls
+    short, the shards that hold an end of a missed link are compared with
+    themselves, and the search goes on from there.
     """
+    every = stored(vectors.select("node", "vec").unionByName(planted(vectors)), "searched")
     share = max(1, min(AUDIT_SHARE, vectors.count() // AUDIT_QUERIES))
-    while share > 1:
-        true = stored(compared(vectors, cosine, share), "audit")
-        if (true.agg(F.sum(F.size("near"))).first()[0] or 0) >= AUDIT_LINKS:
-            break
-        share //= 8
-    for _ in range(rounds if share > 1 else 0):
-        shards = sharded(vectors, overlap)
+    asked = every.where(is_planted("node") | (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(share)) == 0))
+    true = stored(compared(every, asked, cosine), "audit")
+    for more in range(rounds):
+        shards = sharded(every, overlap << more)
         united = stored(graph(shards), "graph")
-        found = stored(searched(shards, united, cosine, beam), "near")
-        found = stored(visited(vectors, shards, found, cosine), "near")
-        if recall(true, found) >= RECALL:
-            return found
-        overlap, beam = 2 * overlap, 2 * beam
-    return stored(compared(vectors, cosine, 1), "near")
+        found = stored(searched(shards, united, cosine, beam << more), "near")
+        found = stored(visited(every, shards, found, cosine), "near")
+        reached, missed = judged(true, found)
+        if reached is None or reached >= RECALL:
+            break
+    else:
+        found = stored(visited(every, shards, found, cosine, missed), "near")
+    near = F.filter("near", lambda node: ~is_planted(node))
+    return found.where(~is_planted("node")).select("node", near.alias("near")).where(F.size("near") > 0), reached
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``vec_id, n_links, component_id, kept``, one row for each row of ``embeddings``.
+    """``vec_id, n_links, component_id, kept, recall``, one row for each row of ``embeddings``.
 
     Equal vectors are one node of the graph and count as linked with each other.
     Vectors that are null, empty or zero, hold null or non-finite numbers, or have
     a null vec_id, link with nothing and are kept; vectors of different
-    dimensions don't link.
+    dimensions don't link. ``recall`` is the share of an audit's links that the
+    search found, the same in all rows; null if no vector can link.
     """
     rows = stored(classes(embeddings), "vectors")
     vectors = stored(
         rows.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes"
     )
-    found = links(vectors, cosine)
+    found, reached = links(vectors, cosine)
+    found = stored(found, "links")
     sizes = vectors.select(F.col("node").alias("other"), "copies")
     pairs = found.select("node", F.explode("near").alias("other"))
     linked = pairs.join(sizes, "other").groupBy("node").agg(F.sum("copies").alias("others"))
     # components need one edge of each node to every later one only
     label = components(pairs.where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")), "components")
     joined = vectors.join(linked, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    joined = stored(joined.select("node", "least", "copies", F.coalesce("others", F.lit(0).cast("long")).alias("others"), "component"), "judged")
+    joined = stored(joined.select("node", "least", "copies", F.coalesce("others", F.lit(0).cast("long")).alias("others"), "component"), "joined")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    judged = joined.join(least, "component").select("node", (F.col("copies") - 1 + F.col("others")).alias("links"), "component_id")
-    out = rows.select("vec_id", "node").join(judged, "node", "left")
+    each = joined.join(least, "component").select("node", (F.col("copies") - 1 + F.col("others")).alias("links"), "component_id")
+    out = rows.select("vec_id", "node").join(each, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(reached).cast("double").alias("recall"),
     )

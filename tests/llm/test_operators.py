@@ -274,7 +274,7 @@ def test_a_group_over_many_shards_is_linked_across_them(spark, monkeypatch):
     monkeypatch.setattr(flatgraph, "AUDIT_QUERIES", 64)
     x = jittered(1, 400, 7)
     own = flatgraph.classes(vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x.astype(np.float32))])).select("node", "vec")
-    found = flatgraph.links(own, overlap=2)
+    found, _ = flatgraph.links(own, overlap=2)
     true = (x @ x.T >= 0.95).sum() - len(x)
     assert found.agg(F.sum(F.size("near"))).first()[0] >= 0.98 * true
 
@@ -286,11 +286,29 @@ def test_what_the_search_misses_is_settled(spark, monkeypatch, members):
     monkeypatch.setattr(flatgraph, "searched", lambda *_: nothing)
     x = np.concatenate([np.random.default_rng(8).normal(size=(1500, 64)), jittered(3, members, 9)])
     own = flatgraph.classes(vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x.astype(np.float32))])).select("node", "vec")
-    found = flatgraph.links(own, rounds=1).agg(F.sum(F.size("near"))).first()[0]
+    near, recall = flatgraph.links(own, rounds=1)
+    assert recall == 0
+    found = near.agg(F.sum(F.size("near"))).first()[0]
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     assert found == (x @ x.T >= 0.95).sum() - len(x)
 
 
+@pytest.mark.parametrize(("rows", "groups"), [(500, 0), (2000, 5)])
+def test_every_table_is_searched_through_the_graph(spark, monkeypatch, rows, groups):
+    """Tables without links and with few of them: the first search is enough, and only what is asked is compared with all."""
+    asked, searches = [], []
+    compared, searched = flatgraph.compared, flatgraph.searched
+    monkeypatch.setattr(flatgraph, "compared", lambda every, some, cosine: asked.append(some.count()) or compared(every, some, cosine))
+    monkeypatch.setattr(flatgraph, "searched", lambda *given: searches.append(1) or searched(*given))
+    x = np.concatenate([np.random.default_rng(10).normal(size=(rows, 64)), jittered(groups, 4, 11)])
+    got = flatgraph.near_duplicates(vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x.astype(np.float32))])).collect()
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert len(searches) == 1 and len(asked) == 1 and asked[0] <= max(1024, rows // 3) + flatgraph.PLANTED
+    assert {r.recall for r in got} == {got[0].recall} and got[0].recall >= 0.98
+    assert [r.n_links for r in sorted(got)] == true.tolist()
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 0.0]
     rows = [
