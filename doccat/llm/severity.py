@@ -79,11 +79,13 @@ class Ordinal:
         return key // size, (key % size).astype(np.int64), count, n_words
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """P(grade > j) for each row and threshold."""
+        """P(grade > j) for each row and threshold; 0 for rows without words."""
         row, slot, count, n_words = self.counts(data, offsets)
         line = np.bincount(row, weights=self.weights[slot] * np.log1p(count), minlength=len(offsets) - 1)
         line = line + self.weights[-1] * np.log1p(n_words)
-        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - line[:, None], -50, 50)))
+        above = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - line[:, None], -50, 50)))
+        above[n_words == 0] = 0
+        return above
 
 
 def fit(
@@ -199,7 +201,6 @@ def severity(documents: DataFrame, labels: DataFrame, flag: float = FLAG, sample
             above = np.zeros((batch.num_rows, GRADES - 1))
             if shared.value is not None:
                 above = shared.value.score(data, offsets)
-                above[np.diff(offsets) == 0] = 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1), pa.int32()),

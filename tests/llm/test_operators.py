@@ -202,9 +202,11 @@ def test_severity(spark, documents):
         rows.append((i, " ".join(text)))
         if i < 500:
             labels.append((i, int(bad)))
+    rows += [(600, "123 !! 45"), (601, "  \n "), (602, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r for r in severity.severity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    assert len(out) == 600
+    assert len(out) == 603
+    assert all(out[i].severity == out[i].p_toxic == 0 and not out[i].toxic for i in range(600, 603))
     right = np.mean([out[i].toxic == (i % 5 == 0) for i in range(500, 600)])
     assert right > 0.95
     mild = np.mean([out[i].severity for i in range(0, 600, 5) if i % 7 == 0])
