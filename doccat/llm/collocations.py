@@ -48,24 +48,31 @@ def slice_of(a: np.ndarray) -> np.ndarray:
     return (a >> np.uint64(54)).astype(np.int64)
 
 
-def bits_of(a: np.ndarray, b: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Byte and mask of the four bits that a key has in its slice of ``width`` bits, a power of two."""
-    step = mix(b + STEP) | np.uint64(1)
-    for k in range(4):
-        at = mix(a + np.uint64(k) * step) & np.uint64(width - 1)
-        yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+def bit(a: np.ndarray, step: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and place in it of the ``k``-th of the four bits that a key has in its slice of ``width`` bits, a power of two."""
+    at = mix(a + np.uint64(k) * step) & np.uint64(width - 1)
+    return (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+
+
+def step_of(b: np.ndarray) -> np.ndarray:
+    return mix(b + STEP) | np.uint64(1)
 
 
 class Filter:
     """A Bloom filter over pairs of hashes. What it takes for a member by mistake is merely counted too."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits, self.bytes = bits.reshape(-1), bits.shape[1]
 
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        part, out = slice_of(a), np.ones(len(a), bool)
-        for at, mask in bits_of(a, b, self.bits.shape[1] * 8):
-            out &= self.bits[part, at] & mask != 0
+        """Whether each key is a member; a key is done with at its first bit that is not set."""
+        out, alive = np.zeros(len(a), bool), np.arange(len(a))
+        start, step = slice_of(a) * self.bytes, step_of(b)
+        for k in range(4):
+            at, place = bit(a, step, k, self.bytes * 8)
+            hit = np.flatnonzero((self.bits[start + at] >> place) & np.uint8(1))
+            alive, a, start, step = alive[hit], a[hit], start[hit], step[hit]
+        out[alive] = True
         return out
 
 
@@ -97,8 +104,9 @@ def filter_of(found: DataFrame, parts: bool = False) -> Broadcast:
             a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
             for s in np.unique(number).tolist():
                 own = made.setdefault(s, np.zeros(width // 8, np.uint8))
-                for at, mask in bits_of(a[number == s], b[number == s], width):
-                    np.bitwise_or.at(own, at, mask)
+                for k in range(4):
+                    at, place = bit(a[number == s], step_of(b[number == s]), k, width)
+                    np.bitwise_or.at(own, at, np.uint8(1) << place)
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([m.tobytes() for m in made.values()], pa.binary())], names=["slice", "bits"])
 
@@ -128,8 +136,9 @@ def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, a place of each, and the number of the key at each place."""
     order = np.argsort(keys)
+    ordered = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
+    new[1:] = ordered[1:] != ordered[:-1]
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
     at = order[new]
@@ -141,8 +150,9 @@ class Phrases:
 
     def __init__(self, places: np.ndarray, keys: np.ndarray, n: int, part: np.ndarray):
         order = np.argsort(keys)
+        ordered = keys[order]
         new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
+        new[1:] = ordered[1:] != ordered[:-1]
         heads = np.flatnonzero(new)
         self.places, self.at = places, places[order[heads]]
         self.of = np.full(n, -1, np.int64)
@@ -161,60 +171,98 @@ class Phrases:
         return own
 
 
+class Slice:
+    """Words of a batch of texts: of each distinct one (by language) two hashes and a place; of each place its word, part and row.
+
+    ``joins`` tells where the next word is in the same piece.
+    """
+
+    def __init__(self, batch: pa.RecordBatch):
+        data, offsets = utf8(batch.column("text"))
+        self.data = LOWER[data]
+        words = Words(self.data, offsets, gap=APART)
+        self.rows, self.starts, self.ends = row_of(words.first), words.starts, words.ends()
+        self.langs, self.sizes = batch.column("lang").to_pylist(), np.diff(words.first)
+        known = {x: salts(x) for x in set(self.langs)}
+        salt = np.array([known[x] for x in self.langs], np.uint64).reshape(-1, 2)
+        self.a, self.first, self.number = numbered(mix(words.hashes + salt[self.rows, 0]))
+        second = second_hashes(self.data, self.starts[self.first], self.ends[self.first])
+        self.b = mix(second + salt[self.rows[self.first], 1]) & LOW
+        breaks = np.cumsum(BREAK[self.data])[self.starts] if len(data) else np.zeros(0, np.int64)
+        self.joins = np.zeros(len(self.starts), bool)
+        self.joins[:-1] = (self.rows[1:] == self.rows[:-1]) & (breaks[1:] == breaks[:-1])
+        self.parts = batch.column("part").to_numpy().astype(np.uint8)[self.rows]
+
+    def proposals(self, longest: int, filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, places of the phrases that the last filter proposes, their hashes, and whether it is the first to do so.
+
+        Nothing is sorted: every place asks the filters, so this is for callers that want few of the phrases.
+        """
+        n, a, b = len(self.number), self.a[self.number], self.b[self.number]
+        known = [f.has(self.a, self.b)[self.number] for f in filters]
+        own_a, own_b = a, b
+        yield 1, np.flatnonzero(known[-1]), a[known[-1]], b[known[-1]], np.full(int(known[-1].sum()), len(filters) <= 1)
+        for length in range(2, longest + 1):
+            proposed = [k[:-1] & k[1:] for k in known]
+            at = np.flatnonzero(proposed[-1])
+            at = at[at + length <= n]
+            at = at[self.joins[at + length - 2]]
+            to_a, to_b = mix(own_a[at] * STEP + a[at + length - 1]), mix(own_b[at] * STEP + b[at + length - 1]) & LOW
+            fresh = np.ones(len(at), bool)
+            for p in proposed[:-1]:
+                fresh &= ~p[at]
+            yield length, at, to_a, to_b, fresh
+            if length < longest:
+                own_a, own_b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                own_a[at], own_b[at] = to_a, to_b
+                known = [np.zeros(n, bool) for _ in filters]
+                for k, f, p in zip(known, filters, proposed, strict=True):
+                    asked = at[p[at]]
+                    k[asked] = f.has(own_a[asked], own_b[asked])
+
+    def text(self, place: int, length: int) -> bytes:
+        spans = zip(self.starts[place : place + length].tolist(), self.ends[place : place + length].tolist(), strict=True)
+        return b" ".join(self.data[x:z].tobytes() for x, z in spans)
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by both hashes, and where in it each distinct key begins."""
+    order = np.argsort(a, kind="stable")
+    if ((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])).any():
+        order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order, np.flatnonzero(new)
+
+
 class Texts:
-    """Words of texts: ``words`` numbers them, by language; ``joins`` tells where the next word is in the same piece."""
+    """All words of a gathering of texts, numbered by language."""
 
     def __init__(self, held: list[pa.RecordBatch]):
-        self.langs: dict[str, int] = {}
-        self.data, keys, others, langs, spans, numbers, joins, parts, known = [], [], [], [], [], [], [], [], 0
-        self.totals: dict[str, int] = {}
+        keys, others, numbers, joins, parts, known = [], [], [], [], [], 0
         for batch in held:
-            data, offsets = utf8(batch.column("text"))
-            data = LOWER[data]
-            words = Words(data, offsets, gap=APART)
-            rows, starts, ends = row_of(words.first), words.starts, words.ends()
-            names = batch.column("lang").to_pylist()
-            codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in names], np.int64)
-            salt = np.array([salts(x) for x in names], np.uint64).reshape(-1, 2)
-            for name, n in zip(names, np.diff(words.first).tolist(), strict=True):
-                self.totals[name] = self.totals.get(name, 0) + n
-            own, first, number = numbered(mix(words.hashes + salt[rows, 0]))
-            keys.append(own)
-            others.append(mix(second_hashes(data, starts[first], ends[first]) + salt[rows[first], 1]) & LOW)
-            langs.append(codes[rows[first]])
-            spans.append(np.stack([np.full(len(first), len(self.data)), starts[first], ends[first]], axis=1))
-            numbers.append(number + known)
-            known += len(own)
-            breaks = np.cumsum(BREAK[data])[starts] if len(data) else np.zeros(0, np.int64)
-            join = np.zeros(len(starts), bool)
-            join[:-1] = (rows[1:] == rows[:-1]) & (breaks[1:] == breaks[:-1])
-            joins.append(join)
-            parts.append(batch.column("part").to_numpy().astype(np.uint8)[rows])
-            self.data.append(data)
+            own = Slice(batch)
+            keys.append(own.a)
+            others.append(own.b)
+            numbers.append(own.number + known)
+            known += len(own.a)
+            joins.append(own.joins)
+            parts.append(own.parts)
         self.a, first, number = numbered(np.concatenate(keys))
-        self.b, self.lang, self.spans = np.concatenate(others)[first], np.concatenate(langs)[first], np.concatenate(spans)[first]
+        self.b = np.concatenate(others)[first]
         self.words, self.joins, self.parts = number[np.concatenate(numbers)], np.concatenate(joins), np.concatenate(parts)
 
-    def phrases(self, longest: int, filters: list[Filter]) -> Iterator[tuple[int, Phrases, np.ndarray, np.ndarray, np.ndarray]]:
-        """Length, phrases, their hashes, and whether the last filter is the first that proposes them.
-
-        A filter proposes a phrase if it has all parts of it. Without filters everything is proposed.
-        """
+    def phrases(self, longest: int, known_to: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, and of each phrase two hashes, count and least part. The filter proposes a phrase if it has all parts of it; without one all are."""
         n = len(self.words)
         own, a, b = Phrases.words(self.words, len(self.a), self.parts), self.a, self.b
-        known = [f.has(a, b) for f in filters]
-        yield 1, own, a, b, np.full(len(a), len(filters) <= 1)
+        yield 1, a, b, own.count, own.part
         for length in range(2, longest + 1):
-            at = self.extended(own, known[-1] if filters else None, length)
+            at = self.extended(own, known_to.has(a, b) if known_to else None, length)
             before, own = own, Phrases(at, (own.of[at] << 32) | self.words[at + length - 1], n, self.parts)
-            head, tail, last = before.of[own.at], before.of[own.at + 1], self.words[own.at + length - 1]
-            proposed = [k[head] & k[tail] for k in known]
+            head, last = before.of[own.at], self.words[own.at + length - 1]
             a, b = mix(a[head] * STEP + self.a[last]), mix(b[head] * STEP + self.b[last]) & LOW
-            known = [f.has(a, b) & p for f, p in zip(filters, proposed, strict=True)]
-            fresh = np.ones(len(a), bool)
-            for p in proposed[:-1]:
-                fresh &= ~p
-            yield length, own, a, b, fresh
+            yield length, a, b, own.count, own.part
 
     def extended(self, own: Phrases, known: np.ndarray | None, length: int) -> np.ndarray:
         """Places of phrases of ``length`` words whose two parts, a word shorter, are both known."""
@@ -224,9 +272,19 @@ class Texts:
         at = np.flatnonzero(good[:-1] & good[1:])
         return at[self.joins[at + length - 2]]
 
-    def text(self, place: int, length: int) -> bytes:
-        spans = self.spans[self.words[place : place + length]]
-        return b" ".join(self.data[s][x:z].tobytes() for s, x, z in spans.tolist())
+
+def added(held: list[pa.RecordBatch], longest: int, filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Length, and of each phrase two hashes, count and least part, as far as the last filter is the first to propose it."""
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for batch in held:
+        own = Slice(batch)
+        for size, at, a, b, fresh in own.proposals(longest, filters):
+            found.setdefault(size, []).append((a[fresh], b[fresh], own.parts[at[fresh]]))
+    for size, columns in found.items():
+        a, b, part = (np.concatenate(c) for c in zip(*columns, strict=True))
+        if len(a):
+            order, heads = distinct(a, b)
+            yield size, a[order[heads]], b[order[heads]], np.diff(np.append(heads, len(a))), np.minimum.reduceat(part[order], heads)
 
 
 # --- counts -----------------------------------------------------------------------
@@ -244,16 +302,16 @@ def counted(rows: DataFrame, buckets: int, filters: list[Broadcast], longest: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in gathered(batches, GATHER_BYTES):
-            texts = Texts(held)
-            for size, own, a, b, fresh in texts.phrases(longest, [f.value for f in filters]):
-                at = np.flatnonzero(fresh)
-                if not len(at):
+            given = [f.value for f in filters]
+            phrases = added(held, longest, given) if len(given) > 1 else Texts(held).phrases(longest, given[0] if given else None)
+            for size, a, b, n, part in phrases:
+                if not len(a):
                     continue
-                at = at[np.argsort(a[at])]
+                at = np.argsort(a)
                 bucket = ((a[at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 used, first = np.unique(bucket, return_index=True)
                 cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
-                columns = (a[at], b[at].astype(np.uint32), own.count[at].astype(np.uint32), own.part[at])
+                columns = (a[at], b[at].astype(np.uint32), n[at].astype(np.uint32), part[at])
                 packs = [[(pack if c else pack_sorted)(column[x:z]) for x, z in cuts] for c, column in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used), pa.array(np.full(len(used), size, np.int32)), *(pa.array(p, pa.binary()) for p in packs)],
@@ -266,13 +324,8 @@ def counted(rows: DataFrame, buckets: int, filters: list[Broadcast], longest: in
             b, n, part = (
                 np.concatenate([unpack(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("b", np.uint32), ("n", np.uint32), ("part", np.uint8))
             )
-            order = np.argsort(a, kind="stable")
-            if ((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])).any():
-                order = np.lexsort((b, a))
+            order, heads = distinct(a, b)
             a, b, n, part = a[order], b[order], n[order].astype(np.int64), part[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            heads = np.flatnonzero(new)
             sums = np.add.reduceat(n, heads)
             often = sums >= least
             size = group.column("size")[0].as_py()
@@ -329,15 +382,21 @@ def named(rows: DataFrame, found: DataFrame, last: Broadcast, longest: int) -> t
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in gathered(batches, GATHER_BYTES):
-            texts = Texts(held)
-            langs = list(texts.langs)
-            yield batch_of([0] * len(texts.totals), [0] * len(texts.totals), list(texts.totals), [None] * len(texts.totals), list(texts.totals.values()))
-            for size, own, a, b, _ in texts.phrases(longest, [last.value]):
-                # the part that is to name a phrase is its least one, so it can only be the least one here
-                at = np.flatnonzero(wanted.value.has(of_part(a, own.part), b))
-                place = own.at[at]
-                phrase = [texts.text(p, size).decode() for p in place.tolist()]
-                lang = [langs[c] for c in texts.lang[texts.words[place]].tolist()]
+            texts, totals, wanted_here = [Slice(batch) for batch in held], {}, {}
+            for number, own in enumerate(texts):
+                for lang, n in zip(own.langs, own.sizes.tolist(), strict=True):
+                    totals[lang] = totals.get(lang, 0) + n
+                for size, at, a, b, _ in own.proposals(longest, [last.value]):
+                    hit = wanted.value.has(of_part(a, own.parts[at]), b)
+                    wanted_here.setdefault(size, []).append((a[hit], b[hit], np.full(int(hit.sum()), number), at[hit]))
+            yield batch_of([0] * len(totals), [0] * len(totals), list(totals), [None] * len(totals), list(totals.values()))
+            for size, columns in wanted_here.items():
+                a, b, number, place = (np.concatenate(c) for c in zip(*columns, strict=True))
+                order, heads = distinct(a, b)
+                at = order[heads]
+                owners = [(texts[s], p) for s, p in zip(number[at].tolist(), place[at].tolist(), strict=True)]
+                phrase = [own.text(p, size).decode() for own, p in owners]
+                lang = [own.langs[own.rows[p]] for own, p in owners]
                 yield batch_of(a[at].view(np.int64), b[at].view(np.int64), lang, phrase, [0] * len(at))
 
     def batch_of(a, b, lang, phrase, n) -> pa.RecordBatch:
