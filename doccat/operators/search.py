@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doccat.config import (
@@ -21,6 +22,7 @@ from doccat.config import (
     NOT_SEARCHABLE,
     STRING_LIMIT,
 )
+from doccat.functions import props as B
 from doccat.functions.text import tokens
 from doccat.operators.postings import TextIndex
 
@@ -32,12 +34,41 @@ def _kind(field: str) -> str:
     return "text" if field == "content_type" else FIELD_KINDS.get(field, "string")
 
 
+def field_value(catalog: DataFrame, field: str) -> tuple[Column, bool]:
+    """A field's value, and whether it is a list.
+
+    A column of the catalogue if there is one. Any other configured field is
+    lifted out of the property bag, where its key may have a colon for the
+    first underscore: a list of its kind (text, whole number, time), without
+    the values that are none; null if nothing is left.
+    """
+    kinds = dict(catalog.dtypes)
+    if field in kinds:
+        return F.col(f"`{field}`"), kinds[field].startswith("array")
+    if field not in FIELD_KINDS or "props" not in kinds:
+        raise ValueError(f"neither a column nor a configured field: {field!r}")
+    found = F.coalesce(B.values(F.col("props"), field), B.values(F.col("props"), field.replace("_", ":", 1)))
+    wanted = {"long": "bigint", "date": "timestamp"}.get(_kind(field), "string")
+    fitting = F.filter(F.transform(found, lambda v: v.try_cast(wanted)), lambda v: v.isNotNull())
+    return F.when(F.size(fitting) > 0, fitting), True
+
+
+def lifted(catalog: DataFrame, *fields: str) -> DataFrame:
+    """The catalogue with configured fields of the property bag as columns of their kind."""
+    return catalog.withColumns({field: field_value(catalog, field)[0] for field in fields})
+
+
+def _some(catalog: DataFrame, field: str, test: Callable[[Column], Column]) -> Column:
+    """Whether the value, or some value of a list, passes."""
+    value, many = field_value(catalog, field)
+    return F.exists(value, test) if many else test(value)
+
+
 def field_tokens(catalog: DataFrame, field: str) -> Column:
     """Terms of a text field, single or multi-valued."""
     _check_searchable(field)
-    if dict(catalog.dtypes)[field].startswith("array"):
-        return F.flatten(F.transform(field, tokens))
-    return tokens(F.col(field))
+    value, many = field_value(catalog, field)
+    return F.flatten(F.transform(value, tokens)) if many else tokens(value)
 
 
 def field_is(catalog: DataFrame, field: str, value: str) -> Column:
@@ -46,7 +77,7 @@ def field_is(catalog: DataFrame, field: str, value: str) -> Column:
     if _kind(field) == "text":
         terms = _words(value)
         return F.arrays_overlap(field_tokens(catalog, field), F.array(*(F.lit(t) for t in terms)))
-    return F.col(field) == value
+    return _some(catalog, field, lambda v: v == value)
 
 
 def field_prefix(catalog: DataFrame, field: str, prefix: str) -> Column:
@@ -54,30 +85,33 @@ def field_prefix(catalog: DataFrame, field: str, prefix: str) -> Column:
     _check_searchable(field)
     bare = prefix.removesuffix("*")
     if not bare:
-        return F.col(field).isNotNull()
+        return field_value(catalog, field)[0].isNotNull()
     if _kind(field) == "text":
         return F.exists(field_tokens(catalog, field), lambda t: t.startswith(bare.lower()))
-    return F.col(field).startswith(bare)
+    return _some(catalog, field, lambda v: v.startswith(bare))
 
 
 def field_wildcard(catalog: DataFrame, field: str, glob: str) -> Column:
     _check_searchable(field)
     if _kind(field) == "text":
         return F.exists(field_tokens(catalog, field), lambda t: t.rlike(_glob_regex(glob.lower())))
-    return F.col(field).rlike(_glob_regex(glob))
+    return _some(catalog, field, lambda v: v.rlike(_glob_regex(glob)))
 
 
 def field_range(field: str, low=None, high=None, many: bool = False) -> Column:
     """``low`` and ``high`` are inclusive; leave one out for an open end. Of a multi-valued field some value must fit."""
     _check_searchable(field)
+    return F.exists(field, _between(low, high)) if many else _between(low, high)(F.col(field))
+
 
+def _between(low, high) -> Callable[[Column], Column]:
     def inside(value: Column) -> Column:
         fits = value.isNotNull()
         if low is not None:
             fits = fits & (value >= F.lit(low))
         return fits & (value <= F.lit(high)) if high is not None else fits
 
-    return F.exists(field, inside) if many else inside(F.col(field))
+    return inside
 
 
 def concern_pattern(concern: str | None) -> str:
@@ -126,8 +160,8 @@ def match_all(index: TextIndex) -> DataFrame:
 
 
 def match_range(catalog: DataFrame, field: str, low=None, high=None) -> DataFrame:
-    many = dict(catalog.dtypes)[field].startswith("array")
-    return catalog.where(field_range(field, low, high, many)).select("id")
+    _check_searchable(field)
+    return catalog.where(_some(catalog, field, _between(low, high))).select("id")
 
 
 def match_fuzzy(index: TextIndex, term: str, max_edits: int = 2) -> DataFrame:
@@ -293,32 +327,56 @@ def top_ranked(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def facets(matches: DataFrame, fields: list[str], limit: int | None = None) -> DataFrame:
-    """``field, value, n`` counts over the matches, in one pass for all fields.
+def facets(matches: DataFrame, fields: list[str] = (), limit: int | None = None,
+           ranges: dict[str, list] | None = None, queries: dict[str, Column] | None = None) -> DataFrame:
+    """``field, value, n`` counts over the matches: all fields, ranges and queries in one pass.
 
-    ``limit`` keeps the most frequent values of each field.
+    ``limit`` keeps the most frequent values of each of ``fields``, in their
+    order; no field's values gather in one task for that. ``ranges`` gives ascending edges of a
+    field: a row for each interval, named by its lower edge, which belongs to
+    it, as the upper one does not. ``queries`` gives names to predicates; their
+    ``field`` is ``query``. Intervals and queries that nothing fits count 0. A
+    document counts once for each value, interval and query it fits.
     """
-    kinds = dict(matches.dtypes)
+    ranges, queries = ranges or {}, queries or {}
+    entry = lambda field, value: F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"))
+    none = F.array().cast("array<struct<field:string,value:string>>")
+
+    def listed(field: str) -> Column:
+        value, many = field_value(matches, field)
+        return value if many else F.array(value)
 
     def pairs(field: str) -> Column:
-        many = F.col(field) if kinds[field].startswith("array") else F.array(field)
-        filled = F.coalesce(many.cast("array<string>"), F.array().cast("array<string>"))
-        return F.transform(filled, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+        return F.coalesce(F.transform(F.array_distinct(listed(field)), lambda v: entry(field, v)), none)
+
+    def intervals(field: str, edges: list) -> Column:
+        at = F.array(*(F.lit(e) for e in edges))
+        place = lambda v: F.size(F.filter(at, lambda e: e <= v))
+        places = F.filter(F.transform(listed(field), place), lambda i: (i > 0) & (i < len(edges)))
+        return F.coalesce(F.transform(F.array_distinct(places), lambda i: entry(field, F.get(at, i - 1))), none)
 
+    hits = [F.when(fits, F.array(entry("query", F.lit(name)))).otherwise(none) for name, fits in queries.items()]
+    parts = [*map(pairs, fields), *(intervals(f, e) for f, e in ranges.items()), *hits]
     counted = (
-        matches.select(F.inline(F.concat(*(pairs(f) for f in fields))))
+        matches.select(F.inline(F.concat(*parts)))
         .where(F.col("value").isNotNull())
         .groupBy("field", "value")
         .agg(F.count("*").alias("n"))
     )
+    if ranges or queries:
+        asked = [entry(f, F.lit(e)) for f, edges in ranges.items() for e in edges[:-1]] + [entry("query", F.lit(q)) for q in queries]
+        empty = matches.sparkSession.range(1).select(F.inline(F.array(*asked)), F.lit(0).cast("bigint").alias("n"))
+        counted = counted.unionByName(empty).groupBy("field", "value").agg(F.sum("n").alias("n"))
     order = [F.col("n").desc(), F.col("value").asc()]
-    if limit is None:
-        return counted.orderBy("field", *order)
-    tops = [counted.where(F.col("field") == f).orderBy(*order).limit(limit) for f in fields]
-    merged = tops[0]
-    for t in tops[1:]:
-        merged = merged.unionByName(t)
-    return merged
+    if limit is not None:
+        # the limit on the row number is applied in every task before rows of a field come together
+        place = F.row_number().over(Window.partitionBy("field").orderBy(*order))
+        ranked = counted.withColumn("_place", place)
+        top = F.col("_place") <= limit
+        counted = ranked.where(top if not ranges and not queries else top | ~F.col("field").isin(*fields)).drop("_place")
+        places = F.array(*(F.lit(f) for f in [*fields, *ranges, "query"]))
+        return counted.orderBy(F.array_position(places, F.col("field")), *order)
+    return counted.orderBy("field", *order)
 
 
 def returnable(df: DataFrame) -> DataFrame:

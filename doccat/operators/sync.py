@@ -58,8 +58,12 @@ def sync_plan(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def settled_files(files: DataFrame, seconds: float = 1.0, as_of: Column | None = None) -> DataFrame:
     """Files not written to within the last ``seconds``."""
+    return files.where(settled(seconds, as_of))
+
+
+def settled(seconds: float = 1.0, as_of: Column | None = None) -> Column:
     moment = F.current_timestamp() if as_of is None else as_of
-    return files.where(F.col("modification_time") <= moment - F.make_dt_interval(secs=F.lit(seconds)))
+    return F.col("modification_time") <= moment - F.make_dt_interval(secs=F.lit(seconds))
 
 
 def upsert_documents(catalog: DataFrame, docs: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:

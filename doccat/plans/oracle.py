@@ -74,6 +74,8 @@ ORACLES: dict[str, str] = {}
 
 # --- sources and sinks ------------------------------------------------------------
 
+ORACLES["scan_files"] = _paths("substr(path, 2) AS loc, strlen(text) AS length, md5(text) AS content_md5")
+ORACLES["stream_files"] = ORACLES["scan_files"]
 ORACLES["list_files"] = _catalog(r"""SELECT DISTINCT 'inbox' AS dir, substr(loc, 7) AS name, false AS is_dir FROM catalog
  WHERE loc LIKE 'inbox/%' AND regexp_matches(substr(loc, 7), '(note .*\.pdf$)|(^scan)')
 UNION ALL SELECT DISTINCT 'n', split_part(loc, '/', 2), true FROM catalog
@@ -251,6 +253,13 @@ ORACLES["match_bool"] = _search(rf"""SELECT id FROM catalog WHERE id IN {_having
 ORACLES["match_field"] = _catalog("""SELECT id, 'lastname' AS clause FROM catalog WHERE lastname = 'Name5'
 UNION ALL SELECT id, 'title' FROM catalog
  WHERE list_has_any(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}_]+'), ['report', 'nothing'])""".replace("\\\\", "\\"))
+ORACLES["match_author_field"] = _catalog("""SELECT id, 'word' AS clause FROM catalog WHERE doc_id % 97 = 5
+UNION ALL SELECT id, 'prefix' FROM catalog WHERE doc_id % 97 = 9 OR doc_id % 97 >= 90
+UNION ALL SELECT id, 'wildcard' FROM catalog WHERE source LIKE 's_c2'""")
+ORACLES["match_language"] = _catalog("SELECT id FROM catalog WHERE lang = 'de'")
+ORACLES["match_range_created"] = _catalog(f"""SELECT id FROM (
+ SELECT id, {_TIME} AS created FROM (SELECT md5(path) AS id, CASE WHEN doc_id % 10 = 3 THEN p_created ELSE {_DATE} END AS date_text
+  FROM files) f) c WHERE created BETWEEN TIMESTAMP '2008-06-01' AND TIMESTAMP '2014-12-31'""")
 ORACLES["match_prefix"] = _search(r"""SELECT id, 'concern' AS clause FROM catalog
  WHERE regexp_matches(lower(concern), '(^|[^\p{L}\p{M}\p{N}_])name1')
 UNION ALL SELECT DISTINCT id, 'contents' FROM tokens WHERE starts_with(term, 'thr')""")
@@ -317,6 +326,17 @@ ORACLES["search_facets"] = _search(f"""SELECT field, value, count(*) AS n FROM (
 ORACLES["search_facets_top"] = _search(f"""(SELECT 'lastname' AS field, lastname AS value, count(*) AS n {_THE} AND lastname IS NOT NULL
  GROUP BY lastname ORDER BY n DESC, value LIMIT 5)
 UNION ALL (SELECT 'content_type', content_type, count(*) AS n {_THE} GROUP BY content_type ORDER BY n DESC, content_type LIMIT 5)""")
+_BY = f"""f.*, c.date, c.title, c.lastname, c.content_type, c.concern FROM catalog c JOIN (SELECT md5(path) AS id, lang, p_modified FROM files) f USING (id)
+ WHERE id IN {_having('the')}"""
+ORACLES["search_facets_range"] = _search("""SELECT e.field, strftime(low, '%Y-%m-%d %H:%M:%S') AS value, count(moment) AS n
+FROM edges e LEFT JOIN times t ON t.field = e.field AND moment >= low AND moment < high GROUP BY e.field, low""", f"""found AS (SELECT {_BY}),
+ edges AS (SELECT 'date' AS field, make_timestamp(y, 1, 1, 0, 0, 0) AS low, make_timestamp(y + 2, 1, 1, 0, 0, 0) AS high FROM range(2001, 2022, 2) r(y)
+  UNION ALL SELECT 'Last-Modified', make_timestamp(2010, m, 1, 0, 0, 0), make_timestamp(2010, m + 1, 1, 0, 0, 0) FROM range(1, 12) r(m)),
+ times AS (SELECT 'date' AS field, date AS moment FROM found UNION ALL SELECT 'Last-Modified', try_strptime(p_modified, '%Y-%m-%dT%H:%M:%SZ') FROM found)""")
+ORACLES["search_facets_query"] = _search("""SELECT 'query' AS field, unnest(['reports', 'german', 'people', 'nobody']) AS value, unnest([
+ count(*) FILTER (list_contains(regexp_extract_all(lower(title), '[a-z0-9_]+'), 'report')), count(*) FILTER (lang = 'de'), count(lastname), 0]) AS n FROM found
+UNION ALL (SELECT 'content_type', content_type, count(*) AS n FROM found GROUP BY content_type ORDER BY n DESC, content_type LIMIT 3)
+UNION ALL (SELECT 'concern', concern, count(*) AS n FROM found GROUP BY concern ORDER BY n DESC, concern LIMIT 3)""", f"found AS (SELECT {_BY})")
 ORACLES["search_listing"] = _search(f"SELECT id, title, concern {_THE}")
 ORACLES["search_concern"] = _search(rf"""SELECT id, title, concern {_THE}
  AND regexp_matches(lower(concern), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])name1') ORDER BY lower(concern), id LIMIT 20""")
@@ -376,6 +396,12 @@ ORACLES["change_feed_on_catalog"] = _followed("origin", """SELECT path, origin,
   CASE WHEN changed THEN 2 ELSE 1 END AS version, CASE WHEN changed THEN 1 ELSE 0 END AS archived
  FROM (SELECT c.*, l.op, coalesce(l.op <> 'unlink', false) AND doc_id % 3 = 0 AS changed FROM catalog_paths c LEFT JOIN last l ON l.id = md5(c.path)) p) r""",
     f", {_LAST}")
+ORACLES["stream_modified"] = _paths("""substr(path, 2) AS loc, 'add' AS op, CAST(1 AS BIGINT) AS seq, strlen(text) AS length FROM catalog_paths
+UNION ALL SELECT substr(path, 2), CASE doc_id % 3 WHEN 1 THEN 'change' ELSE 'unlink' END, CAST(2 AS BIGINT),
+ CASE doc_id % 3 WHEN 1 THEN strlen(text) + 7 END""") + " WHERE doc_id % 3 > 0"
+ORACLES["stream_follow"] = _followed("'watcher'", """SELECT path, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' edited' END AS now,
+ CASE doc_id % 3 WHEN 1 THEN text || ' edited' ELSE text END AS held, CASE doc_id % 3 WHEN 1 THEN 2 ELSE 1 END AS version,
+ CASE doc_id % 3 WHEN 1 THEN 1 ELSE 0 END AS archived FROM catalog_paths""")
 ORACLES["import_errors"] = f"""WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 9 <> 4 THEN strlen(text) END AS length,
  CASE WHEN doc_id % 9 <> 4 AND strlen(text) <= 10000 THEN md5(text) END AS checksum,
  CASE WHEN doc_id % 9 = 4 THEN 'vanished' WHEN strlen(text) > 10000 THEN 'too large' END AS error FROM catalog_paths"""

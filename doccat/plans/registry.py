@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doccat.config import Settings
 from doccat.functions import metadata as M
 from doccat.functions import paths as P
 from doccat.functions import props as B
@@ -31,6 +32,7 @@ from doccat.sources import files as SF
 from doccat.sources import intake as SI
 from doccat.sources import schema as SS
 from doccat.sources import text as ST
+from doccat.sources import watch as SW
 from doccat.streaming import ingest as SG
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,15 +48,27 @@ def query(fn: Query) -> Query:
 
 @query
 def scan_files(spark, sf):
-    """The data files themselves as a document tree."""
-    return SF.scan_files(spark, sf).select(P.basename(F.col("path")).alias("name"), "length")
+    """The documents as files, read back."""
+    root = shared_folder(spark, "files")
+    I.on_disk(I.paths(spark, sf), root)
+    return _read_back(SF.scan_files(spark, root), root)
+
+
+def _rooted(root: str) -> Settings:
+    return replace(I.SETTINGS, root=root.removeprefix("file://").removeprefix("file:"))
+
+
+def _read_back(files: DataFrame, root: str) -> DataFrame:
+    loc = P.location(P.strip_scheme(F.col("path")), _rooted(root))
+    return files.select(loc.alias("loc"), "length", F.md5("content").alias("content_md5"))
 
 
 @query
 def stream_files(spark, sf):
     """The same tree as a stream of added files, run to its end."""
-    out, checkpoint = shared_folder(spark, "stream-files"), shared_folder(spark, "checkpoint")
-    found = SF.stream_files(spark, sf).select(P.basename(F.col("path")).alias("name"), "length")
+    root, out, checkpoint = (shared_folder(spark, n) for n in ("files", "stream-files", "checkpoint"))
+    I.on_disk(I.paths(spark, sf), root)
+    found = _read_back(SF.stream_files(spark, root, max_files=1000), root)
     run = (
         found.writeStream.format("parquet")
         .option("path", out)
@@ -450,6 +464,32 @@ def match_field(spark, sf):
     return exact.unionByName(words)
 
 
+def _with_authors(spark, sf) -> DataFrame:
+    rows = _rows(spark, sf)
+    author = F.concat(F.lit("Name"), F.col("doc_id") % 97, F.lit(" of "), "source")
+    return rows.withColumn("props", B.put_all(F.col("props"), {"author": author}))
+
+
+@query
+def match_author_field(spark, sf):
+    """A configured field that stands in the property bag only: by word, beginning and pattern."""
+    rows = _with_authors(spark, sf)
+    word = Q.match_field(rows, "author", "NAME5 nobody").withColumn("clause", F.lit("word"))
+    start = Q.match_prefix(rows, "name9*", "author").withColumn("clause", F.lit("prefix"))
+    return word.unionByName(start).unionByName(Q.match_wildcard(rows, "s?c2", "author").withColumn("clause", F.lit("wildcard")))
+
+
+@query
+def match_language(spark, sf):
+    return Q.match_field(_rows(spark, sf), "language", "de")
+
+
+@query
+def match_range_created(spark, sf):
+    low, high = (F.lit(d).cast("timestamp") for d in ("2008-06-01", "2014-12-31"))
+    return Q.match_range(_rows(spark, sf), "Creation-Date", low, high)
+
+
 @query
 def match_prefix(spark, sf):
     fields = Q.match_prefix(_rows(spark, sf), "Name1*", "concern").withColumn("clause", F.lit("concern"))
@@ -572,8 +612,7 @@ def search_hits(spark, sf):
 
 @query
 def search_facets(spark, sf):
-    found = _the(spark, sf).withColumn("language", B.values(F.col("props"), "language"))
-    return Q.facets(found, ["concern", "doctype", "language", "content_type"])
+    return Q.facets(_the(spark, sf), ["concern", "doctype", "language", "content_type"])
 
 
 @query
@@ -581,6 +620,27 @@ def search_facets_top(spark, sf):
     return Q.facets(_the(spark, sf), ["lastname", "content_type"], limit=5)
 
 
+@query
+def search_facets_range(spark, sf):
+    """Years of documents, and months of change out of the property bag."""
+    day = lambda y, m=1: F.lit(f"{y}-{m:02}-01").cast("timestamp")
+    edges = {"date": [day(y) for y in range(2001, 2024, 2)], "Last-Modified": [day(2010, m) for m in range(1, 13)]}
+    return Q.facets(_the(spark, sf), ranges=edges)
+
+
+@query
+def search_facets_query(spark, sf):
+    """Predicates beside the first values of a field, in one pass."""
+    rows = _the(spark, sf)
+    asked = {
+        "reports": Q.field_is(rows, "title", "report"),
+        "german": Q.field_is(rows, "language", "de"),
+        "people": F.col("lastname").isNotNull(),
+        "nobody": Q.field_is(rows, "lastname", "Nobody"),
+    }
+    return Q.facets(rows, ["content_type", "concern"], limit=3, queries=asked)
+
+
 @query
 def search_listing(spark, sf):
     return Q.listing(Q.returnable(_the(spark, sf)))
@@ -750,6 +810,46 @@ def change_feed_on_catalog(spark, sf):
     return _contents(to)
 
 
+def _walked(spark, sf, first: Callable, second: Callable) -> tuple[str, PR.Collection]:
+    """The documents as files, walked; then a third edited and a third removed, and walked again."""
+    to, rows = _collection(spark), I.paths(spark, sf)
+    feed = shared_folder(spark, "feed")
+    I.on_disk(rows, to.settings.root)
+    SW.note_changes(spark, to.settings.root, feed, as_of=I.as_of())
+    first(feed, to)
+    edited = F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" edited")))
+    I.on_disk(rows.where("doc_id % 3 > 0").withColumn("text", edited), to.settings.root)
+    SW.note_changes(spark, to.settings.root, feed, as_of=I.as_of())
+    second(feed, to)
+    return feed, to
+
+
+@query
+def stream_modified(spark, sf):
+    """Additions, edits and removals as a stream that is stopped between two walks."""
+    out, checkpoint = shared_folder(spark, "events"), shared_folder(spark, "checkpoint")
+
+    def run(feed: str, to: PR.Collection) -> None:
+        loc = P.location(P.strip_scheme(F.col("path")), _rooted(to.settings.root))
+        events = SW.stream_noted(spark, feed).select(loc.alias("loc"), "op", "seq", "length")
+        writer = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    _walked(spark, sf, run, run)
+    return spark.read.parquet(out)
+
+
+@query
+def stream_follow(spark, sf):
+    """A collection that follows the same stream."""
+    checkpoint = shared_folder(spark, "checkpoint")
+
+    def run(feed: str, to: PR.Collection) -> None:
+        SG.stream_feed(SW.stream_noted(spark, feed), to, checkpoint, as_of=I.as_of()).awaitTermination()
+
+    return _contents(_walked(spark, sf, run, run)[1])
+
+
 @query
 def import_errors(spark, sf):
     """Files that vanished or are too large give their reason and cost no other document anything."""

@@ -9,17 +9,14 @@ import __spark_entry__ as entry_module
 from doccat.plans.oracle import ORACLES
 from doccat.plans.registry import QUERIES
 
-ROWS_ONLY = {"scan_files", "stream_files"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-def test_only_the_file_listings_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -27,15 +24,6 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert difference(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_file_listing(spark, sf_dir, name):
-    import os
-
-    rows = QUERIES[name](spark, sf_dir).collect()
-    want = {n: os.path.getsize(os.path.join(sf_dir, n)) for n in os.listdir(sf_dir)}
-    assert {r.name: r.length for r in rows} == want
-
-
 def test_entry(spark):
     page = entry_module.entry(spark)
     assert page.columns == ["id", "title", "concern"]
