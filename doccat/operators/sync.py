@@ -70,13 +70,14 @@ def upsert_documents(catalog: DataFrame, docs: DataFrame, order: tuple[str, ...]
     """The catalogue with ``docs`` added; a known ``id`` is overwritten as a whole.
 
     ``docs`` without id get one from their content. Several rows of one id in
-    ``docs`` are reduced to the last by ``order``, or to any one if there is no order.
+    ``docs`` are reduced to the last by ``order``, ties and rows without an order to
+    that of the greatest content digest, so that a rerun keeps the same one.
     The catalogue itself is only filtered, so a small batch does not shuffle it.
     """
-    generated = F.md5(F.to_json(F.struct(*(c for c in docs.columns if c != "id"))))
     has_id = "id" in docs.columns
-    docs = docs.withColumn("id", F.coalesce(F.col("id"), generated) if has_id else generated)
-    docs = latest(docs, "id", *order) if order else docs.dropDuplicates(["id"])
+    docs = docs.withColumn("_digest", F.md5(F.to_json(F.struct(*(c for c in docs.columns if c != "id")))))
+    docs = docs.withColumn("id", F.coalesce("id", "_digest") if has_id else F.col("_digest"))
+    docs = latest(docs, "id", *order, "_digest").drop("_digest")
     return catalog.join(docs.select("id"), "id", "left_anti").unionByName(docs, allowMissingColumns=True)
 
 

@@ -97,3 +97,11 @@ def test_settled(spark):
     now = F.lit(12).cast("timestamp")
     assert ids(S.settled_files(rows, 1.0, now)) == ["a"]
     assert ids(S.settled_files(rows, 0.5, now)) == ["a", "b"]
+
+
+def test_upsert_without_an_order_keeps_the_same_row(spark):
+    known = spark.createDataFrame([("a", "old", None), ("z", "stays", 0)], "id string, title string, n int")
+    docs = spark.createDataFrame([("a", f"t{i}", i % 3 or None) for i in range(40)], "id string, title string, n int")
+    kept = {tuple(sorted((r.id, r.title) for r in S.upsert_documents(known, part).collect()))
+            for part in (docs, docs.orderBy(F.col("title").desc()), docs.repartition(5, "title"))}
+    assert len(kept) == 1 and ("z", "stays") in kept.pop()
