@@ -723,8 +723,9 @@ def apply_changes(spark, sf):
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of them: a pattern finds both."""
     one = I.table(spark, sf, name)
-    return spark.readStream.schema(one.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(one.schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
 @query
@@ -764,7 +765,7 @@ def stream_route(spark, sf):
     out = shared_folder(spark, "route")
     arriving = I.paths_of(_stream(spark, sf, "documents")).select("doc_id", "path")
     SG.stream_route(arriving, out, shared_folder(spark, "checkpoint"), I.SETTINGS).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(OR.route_plan(arriving, I.SETTINGS).schema).parquet(out)
 
 
 # --- a collection that follows its files ------------------------------------------------
