@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doccat.plans.registry import QUERIES
+from doccat.sources import files as SF
 
 
 def _documents(spark, n: int, parts: int, folder: str) -> None:
@@ -26,3 +27,19 @@ def test_a_stream_of_an_empty_table_gives_no_rows(spark, tmp_path):
     _documents(spark, 0, 1, str(tmp_path))
     routed = QUERIES["stream_route"](spark, str(tmp_path))
     assert routed.columns == ["doc_id", "path", "action", "destination"] and routed.count() == 0
+
+
+def test_folders_are_not_listed_by_a_task_each(spark, tmp_path):
+    n = 10 * spark.sparkContext.defaultParallelism
+    for i in range(n):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "file").write_text("x")
+    spark.sparkContext.setJobGroup("walk", "walk")
+    try:
+        files = SF.scan_files(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("walk") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert files.count() == n
