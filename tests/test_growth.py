@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doccat.plans.registry import QUERIES
 from doccat.sources import files as SF
+from doccat.sources import tables
 
 
 def _documents(spark, n: int, parts: int, folder: str) -> None:
@@ -43,3 +44,19 @@ def test_folders_are_not_listed_by_a_task_each(spark, tmp_path):
     stages = [s for j in tracker.getJobIdsForGroup("walk") for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
     assert files.count() == n
+
+
+def test_a_batch_is_kept_once_at_most_and_only_while_it_is_laid_over(spark, tmp_path, monkeypatch):
+    kept = []
+
+    def folder(spark, name):
+        kept.append(tmp_path / f"{name}-{len(kept)}")
+        return str(kept[-1])
+
+    monkeypatch.setattr(tables, "shared_folder", folder)
+    table = tables.PartedTable(spark, str(tmp_path / "t"), "id string, n int", F.col("n") % 2)
+    rows = lambda *given: spark.createDataFrame(list(given), "id string, n int")
+    assert table.apply(rows(("a", 1), ("b", 2))) == 2 and not kept
+    assert table.apply(rows(("a", 3), ("c", 5))) == 1
+    assert len(kept) == 1 and not kept[0].exists()
+    assert sorted(map(tuple, table.read().collect())) == [("a", 3), ("b", 2), ("c", 5)]
