@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from doccat.llm import oddsketch
 from doccat.plans.registry import QUERIES
 from doccat.sources import files as SF
 from doccat.sources import tables
@@ -60,3 +62,15 @@ def test_a_batch_is_kept_once_at_most_and_only_while_it_is_laid_over(spark, tmp_
     assert table.apply(rows(("a", 3), ("c", 5))) == 1
     assert len(kept) == 1 and not kept[0].exists()
     assert sorted(map(tuple, table.read().collect())) == [("a", 3), ("b", 2), ("c", 5)]
+
+
+def test_parts_of_a_bucket_lose_no_candidates(spark):
+    """Pairs that share one bucket only, which is dealt into many parts."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        sketch = rng.integers(0, 256, oddsketch.SKETCH_BITS // 8, dtype=np.uint8).tobytes()
+        rows += [(f"{i:03}{end}".encode(), [7], sketch) for end in "ab"]
+    reps = spark.createDataFrame(rows, "fp binary, bands array<long>, sketch binary")
+    found = {(bytes(r.a), bytes(r.b)) for r in oddsketch.candidates(reps, chunk=8).collect()}
+    assert found >= {(f"{i:03}a".encode(), f"{i:03}b".encode()) for i in range(40)}
