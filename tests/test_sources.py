@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,31 @@ def test_scan_reads_no_bytes_it_does_not_need(spark, root):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
+def test_walk_gives_what_the_scan_gives(spark, root):
+    names = ["_part", "_k=v", "x._COPYING_", "_metadata", "_metadata_d/a.txt", "_no/a.txt", "_k=v d/a.txt", "c._COPYING_/a.txt", "sp ace/ü %20 #?.txt", "q/" * 5 + "deep"]
+    for name in names:
+        put(root, f"odd/{name}")
+    put(root, "odd/empty.txt", b"")
+    os.symlink(os.path.join(root, "s/subd"), os.path.join(root, "odd/linked"))
+    os.symlink(os.path.join(root, "nothing"), os.path.join(root, "odd/dangling"))
+    os.utime(os.path.join(root, "s/subd/b.txt"), ns=(1, 1_234_567_891_987_654_321))
+    os.makedirs(os.path.join(root, "bare"))
+    columns = ["path", "modification_time", "length"]
+    for top in (root, f"file://{root}/", os.path.join(root, "*/subd")):
+        found = sorted(SF.walk_files(spark, top).collect())
+        assert found == sorted(SF.scan_files(spark, top).select(*columns).collect()) and len(found) >= 3
+    assert len(SF.walk_files(spark, root).collect()) == 12
+    assert SF.walk_files(spark, os.path.join(root, "bare")).isEmpty()
+    alone = os.path.join(root, "s/subd/b.txt")
+    assert [r.path for r in SF.walk_files(spark, alone).collect()] == [f"file:{alone}"]
+    with pytest.raises(AnalysisException):
+        SF.walk_files(spark, os.path.join(root, "missing"))
+
+
+def test_walk_leaves_the_listing_to_tasks(spark, root):
+    assert "binaryFile" not in SF.walk_files(spark, root)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_list_files(spark, root):
     settings = Settings(root=root)
     from doccat.functions import paths as P
