@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from doccat.config import BM25_B, BM25_K1
 from doccat.functions.text import tokens
 from doccat.operators.postings import TextIndex
+from doccat.session import shared_folder
 
 MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
+#: Hits (a document's word and a query that asks for it) that one task counts.
+HITS = 2_000_000
 
 
 def clauses_of(queries: DataFrame, column: str = "query", occur: Column | None = None, field: str = "contents") -> DataFrame:
@@ -35,8 +38,10 @@ def match_batch(indexes: TextIndex | list[TextIndex], clauses: DataFrame) -> Dat
 
     A stored index is read once, only the postings of words asked for; document
     frequencies come from its table of terms. Clauses are joined with them
-    first and then, as Spark sees fit, with the postings; the one shuffle of
-    what was hit is that by query and document, reduced before it.
+    first and written. What is shuffled is the postings asked for, by document,
+    once for all queries; the clauses come to them there, broadcast if Spark
+    finds them small enough, and all hits of a document are then counted where
+    it is. The frequencies tell how many hits there will be, and so how many tasks.
     """
     indexes = [indexes] if isinstance(indexes, TextIndex) else indexes
     weight = F.col("weight").cast("double") if "weight" in clauses.columns else F.lit(1.0)
@@ -50,12 +55,18 @@ def match_batch(indexes: TextIndex | list[TextIndex], clauses: DataFrame) -> Dat
     totals = reduce(DataFrame.unionByName, [
         i.stats.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("avg_terms")).withColumn("field", F.lit(i.field)) for i in indexes
     ])
-    weighted = asked.join(musts, "query_id").join(held, ["field", "term"]).join(totals, "field")
     df, tf = F.col("df"), F.col("tf")
     idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    part = F.col("weight") * idf * tf / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_terms") / F.col("avg_terms")))
+    weighted = asked.join(musts, "query_id").join(held, ["field", "term"]).join(totals, "field").select(
+        "query_id", "field", "term", "occur", "n_must", "avg_terms", "df", (F.col("weight") * idf).alias("gain")
+    )
+    kept = shared_folder(clauses.sparkSession, "clauses")
+    weighted.write.parquet(kept)
+    weighted = clauses.sparkSession.read.schema(weighted.schema).parquet(kept)
+    tasks = 1 + (weighted.agg(F.sum("df")).first()[0] or 0) // HITS
+    part = F.col("gain") * tf / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_terms") / F.col("avg_terms")))
     occurs = {o: F.count_if(F.col("occur") == o).alias(o) for o in (MUST, SHOULD, MUST_NOT)}
-    counted = found.join(weighted, ["field", "term"]).groupBy("query_id", "id").agg(
+    counted = found.repartition(tasks, "id").join(weighted, ["field", "term"]).groupBy("query_id", "id").agg(
         *occurs.values(), F.max("n_must").alias("n_must"), F.sum(F.when(F.col("occur") != MUST_NOT, part)).alias("score")
     )
     wanted = (F.col(MUST) == F.col("n_must")) & (F.col(MUST_NOT) == 0) & ((F.col("n_must") > 0) | (F.col(SHOULD) > 0))

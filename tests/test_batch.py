@@ -124,3 +124,17 @@ def test_patterns_are_looked_for_among_the_terms(texts, tmp_path, spark):
         (postings,) = scans(found, "postings")
         assert "dynamicpruning" in postings and mark.lower() in plan.lower()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_postings_are_shuffled_once_and_hits_not_at_all(spark, texts, clauses, monkeypatch):
+    monkeypatch.setattr(B, "HITS", 3)
+    found = B.match_batch(TextIndex(texts), clauses)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(id#\d+, [2-9]", plan)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+    want = {(q, i) for q in (1, 2, 6) for i in brute(q)}
+    assert {(r.query_id, r.id) for r in found.collect()} == want
+
+
+def test_no_clauses_find_nothing(spark, texts, clauses):
+    assert B.search_batch(TextIndex(texts), clauses.limit(0)).isEmpty()
