@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,29 @@ def test_parts_of_a_bucket_lose_no_candidates(spark):
     reps = spark.createDataFrame(rows, "fp binary, bands array<long>, sketch binary")
     found = {(bytes(r.a), bytes(r.b)) for r in oddsketch.candidates(reps, chunk=8).collect()}
     assert found >= {(f"{i:03}a".encode(), f"{i:03}b".encode()) for i in range(40)}
+
+
+def test_parts_that_are_sorted_are_small(spark, tmp_path, monkeypatch):
+    from doccat.operators import postings as OP
+    from doccat.session import PART_SIZE, sortable_parts
+
+    sizes, plain = [], OP.sortable_parts
+
+    @contextmanager
+    def noted(session):
+        with plain(session):
+            sizes.append(session.conf.get(PART_SIZE))
+            yield
+
+    monkeypatch.setattr(OP, "sortable_parts", noted)
+    texts = spark.createDataFrame([("1", "red apple")], "id string, contents string")
+    before = spark.conf.get(PART_SIZE)
+    OP.write_postings(OP.build_postings(texts), str(tmp_path / "postings"))
+    assert sizes == ["16m"] and spark.conf.get(PART_SIZE) == before
+    spark.conf.set(PART_SIZE, "5m")
+    try:
+        with sortable_parts(spark):
+            assert spark.conf.get(PART_SIZE) == "5m"
+        assert spark.conf.get(PART_SIZE) == "5m"
+    finally:
+        spark.conf.unset(PART_SIZE)
