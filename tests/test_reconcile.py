@@ -122,3 +122,39 @@ def test_only_touched_parts_are_rewritten(spark, tmp_path):
     table.apply(rows(), rows(("b", 0)), spark.createDataFrame([(2,)], "part int"))
     assert sorted((r.id, r.n) for r in table.read().collect()) == [("a", 7), ("c", 3), ("i", 9)]
     assert table.apply(rows()) == 0
+
+
+def test_files_are_dealt_out_before_they_are_read(spark, root, tmp_path, monkeypatch):
+    """Few bytes of names stand for many of text, so they must not stay in the one part Spark makes of them."""
+    parts = []
+
+    def noted(rows, most_bytes=None):
+        parts.append(rows.rdd.getNumPartitions())
+        return read_files(rows, most_bytes)
+
+    monkeypatch.setattr(R, "read_files", noted)
+    to = R.Collection(spark, str(tmp_path / "c"), Settings(root=root), parts=4, buckets=4)
+    R.rescan(to, root, as_of=day())
+    feed = [(f"{root}/c.txt", "add", 5, 0)]
+    put(root, "c.txt", "sky")
+    R.apply_feed(to, spark.createDataFrame(feed, "path string, op string, ts long, seq long").withColumn("ts", F.timestamp_seconds(F.col("ts") + 2 * 10**9)))
+    assert parts == [4 * spark.sparkContext.defaultParallelism] * 2
+    assert len(state(to)) == 4
+
+
+def test_ids_of_a_batch_are_kept_once(spark, tmp_path, monkeypatch):
+    from doccat.sources import tables
+
+    made, plain = {}, tables.drop_folder
+
+    def looked(session, path):
+        made[os.path.basename(path).partition("-")[0]] = session.read.parquet(path).count()
+        plain(session, path)
+
+    monkeypatch.setattr(tables, "drop_folder", looked)
+    table = PartedTable(spark, str(tmp_path / "t"), "id string, n int", F.col("n") % 2)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, n int")
+    table.apply(rows(("a", 1), ("b", 2), ("c", 3)))
+    table.apply(rows(("a", 4), ("a", 5), ("d", 7)), gone=rows(("c", 0)).select("id"), touched=spark.createDataFrame([(1,)], "part int"))
+    assert made == {"batch": 3, "ids": 3}
+    assert sorted((r.id, r.n) for r in table.read().collect()) == [("a", 4), ("a", 5), ("b", 2), ("d", 7)]
