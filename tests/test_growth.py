@@ -50,6 +50,27 @@ def test_folders_are_not_listed_by_a_task_each(spark, tmp_path):
     assert files.count() == n
 
 
+def test_a_scan_lists_and_reads_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Neither passes files through the driver's listing nor makes a task of every 32 small files."""
+    cores = spark.sparkContext.defaultParallelism
+    for i in range(5 * cores):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}" / "ä b.txt").write_text(f"text {i:03}")
+    files = SF.scan_files(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan(files) and "EvalPython" in plan(files) and "EvalPython" not in plan(files.drop("content"))
+    assert files.rdd.getNumPartitions() == 4 * cores
+    assert sorted(bytes(r.content) for r in files.collect()) == [b"text %03d" % i for i in range(5 * cores)]
+    monkeypatch.setattr(SF, "READ_BYTES", 8)
+    assert SF.scan_files(spark, str(tmp_path)).rdd.getNumPartitions() == 5 * cores
+
+
+def test_a_scan_reads_what_only_spark_opens(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("red")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.grown.link./in", f"file://{tmp_path}")
+    assert [(r.path, bytes(r.content)) for r in SF.scan_files(spark, "viewfs://grown/in").collect()] == [("viewfs://grown/in/a.txt", b"red")]
+
+
 def test_a_batch_is_kept_once_at_most_and_only_while_it_is_laid_over(spark, tmp_path, monkeypatch):
     kept = []
 
