@@ -87,6 +87,91 @@ def test_a_batch_is_kept_once_at_most_and_only_while_it_is_laid_over(spark, tmp_
     assert sorted(map(tuple, table.read().collect())) == [("a", 3), ("b", 2), ("c", 5)]
 
 
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_parts_are_rewritten_in_groups_of_bounded_size(spark, tmp_path, monkeypatch, most):
+    """Parts over the bound are rewritten one by one, smaller ones together."""
+    written, plain = [], tables.PartedTable._write
+
+    def noted(table, rows, size, parts):
+        written.append((size, parts))
+        plain(table, rows, size, parts)
+
+    monkeypatch.setattr(tables.PartedTable, "_write", noted)
+    monkeypatch.setattr(tables, "SHUFFLED_BYTES", most)
+    source = str(tmp_path / "s")
+    spark.range(400).selectExpr("cast(id as string) id", "cast(id as int) n").write.parquet(source)
+    rows = spark.read.parquet(source)
+    table = tables.PartedTable(spark, str(tmp_path / "t"), "id string, n int", F.col("n") % 4, 4)
+    assert table.apply(rows) == 4 and written.pop()[0] > 0
+    assert table.apply(rows.where("n < 40").selectExpr("id", "n + 1 as n"), rows.where("n = 100").select("id")) == 4
+    assert [parts for _, parts in written] == ([1] * 4 if most == 0 else [4])
+    assert sorted(r.n for r in table.read().collect()) == sorted([*range(1, 41), *range(40, 100), *range(101, 400)])
+
+
+def test_parts_keep_their_order_where_tasks_write_to_all_of_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SHUFFLED_BYTES", 0)
+    spark.range(300).selectExpr("md5(cast(id as string)) id", "cast(id as int) n").write.parquet(str(tmp_path / "s"))
+    for parts in (None, 4):
+        table = tables.PartedTable(spark, str(tmp_path / f"t{parts}"), "id string, n int", F.col("n") % 4, parts)
+        table.apply(spark.read.parquet(str(tmp_path / "s")))
+        files = [*(tmp_path / f"t{parts}").glob("part=*/*.parquet")]
+        ids = [[r.id for r in spark.read.parquet(str(f)).collect()] for f in files]
+        assert len(files) >= 4 and all(x == sorted(x) for x in ids) and sum(map(len, ids)) == 300
+
+
+def test_shuffles_go_with_their_query(spark):
+    from doccat.session import SHUFFLES_DROPPED, shuffles_dropped
+
+    before = spark.conf.get(SHUFFLES_DROPPED, None)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(SHUFFLES_DROPPED) == "true"
+        assert spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count().count() == 7
+    assert spark.conf.get(SHUFFLES_DROPPED, None) == before
+
+
+def test_a_collection_leaves_no_copy_of_its_texts_behind(spark, tmp_path, monkeypatch):
+    from doccat.config import Settings
+    from doccat.plans import reconcile as R
+
+    kept = []
+
+    def folder(spark, name):
+        kept.append(tmp_path / f"{name}-{len(kept)}")
+        return str(kept[-1])
+
+    for module in (R, tables):
+        monkeypatch.setattr(module, "shared_folder", folder)
+    root = tmp_path / "root"
+    root.mkdir()
+    for n in range(5):
+        (root / f"{n}.txt").write_text(f"word {n}")
+    to = R.Collection(spark, str(tmp_path / "c"), Settings(root=str(root)), parts=4, buckets=4)
+    done = R.rescan(to, str(root))
+    assert {r.action for r in done.collect()} == {"add"} and done.count() == 5
+    (root / "1.txt").write_text("another")
+    (root / "2.txt").unlink()
+    R.rescan(to, str(root))
+    assert {p.name.partition("-")[0] for p in kept} >= {"listing", "looked", "batch", "done"}
+    assert {p.name.partition("-")[0] for p in kept if p.exists()} == {"done"}
+
+
+def test_files_are_read_once(spark, tmp_path, monkeypatch):
+    from doccat.config import Settings
+    from doccat.plans import reconcile as R
+
+    plans, stored = {}, R._stored
+
+    def noted(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, **options)
+
+    monkeypatch.setattr(R, "_stored", noted)
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "a.txt").write_text("a word")
+    R.rescan(R.Collection(spark, str(tmp_path / "c"), Settings(root=str(tmp_path / "root"))), str(tmp_path / "root"))
+    assert plans["looked"].count("MapInArrow") == 1
+
+
 def test_parts_of_a_bucket_lose_no_candidates(spark):
     """Pairs that share one bucket only, which is dealt into many parts."""
     rng = np.random.default_rng(3)
