@@ -155,21 +155,33 @@ def test_a_collection_leaves_no_copy_of_its_texts_behind(spark, tmp_path, monkey
     assert {p.name.partition("-")[0] for p in kept if p.exists()} == {"done"}
 
 
-def test_files_are_read_once(spark, tmp_path, monkeypatch):
+def test_files_are_read_once_and_no_known_text_is_kept(spark, tmp_path, monkeypatch):
     from doccat.config import Settings
     from doccat.plans import reconcile as R
 
-    plans, stored = {}, R._stored
+    plans, texts, stored = [], [], R._stored
 
     def noted(df, name, **options):
-        plans[name] = df._jdf.queryExecution().executedPlan().toString()
-        return stored(df, name, **options)
+        rows, path = stored(df, name, **options)
+        if name == "looked":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            texts.append({r.path.rpartition("/")[2]: r.contents for r in rows.collect()})
+        return rows, path
 
     monkeypatch.setattr(R, "_stored", noted)
-    (tmp_path / "root").mkdir()
-    (tmp_path / "root" / "a.txt").write_text("a word")
-    R.rescan(R.Collection(spark, str(tmp_path / "c"), Settings(root=str(tmp_path / "root"))), str(tmp_path / "root"))
-    assert plans["looked"].count("MapInArrow") == 1
+    root = tmp_path / "root"
+    root.mkdir()
+    for name in "ab":
+        (root / name).write_text(f"text {name}")
+    to = R.Collection(spark, str(tmp_path / "c"), Settings(root=str(root)))
+    R.rescan(to, str(root))
+    (root / "a").write_text("edited")
+    feed = spark.createDataFrame([(f"{root}/{name}", "change", n) for n, name in enumerate("abc")], "path string, op string, seq long")
+    done = R.apply_feed(to, feed.withColumn("ts", F.lit("2040-01-01").cast("timestamp")))
+    assert {r.path.rpartition("/")[2]: r.action for r in done.collect()} == {"a": "update", "b": "keep", "c": "failed"}
+    assert texts == [{"a": "text a", "b": "text b"}, {"a": "edited", "b": None, "c": None}]
+    assert [plan.count("MapInArrow") for plan in plans] == [1, 1]
+    assert {r.contents for r in to.rows().collect()} == {"edited", "text b"}
 
 
 def test_parts_of_a_bucket_lose_no_candidates(spark):
