@@ -65,6 +65,33 @@ def test_a_scan_lists_and_reads_in_few_tasks(spark, tmp_path, monkeypatch):
     assert SF.scan_files(spark, str(tmp_path)).rdd.getNumPartitions() == 5 * cores
 
 
+def test_a_stream_of_files_does_not_write_its_logs_anew_every_ten_batches(spark, tmp_path):
+    from doccat.session import BATCH_SETTINGS, small_batches
+
+    for i in range(12):
+        (tmp_path / "files" / f"{i}").mkdir(parents=True)
+        (tmp_path / "files" / f"{i}" / "a.txt").write_text(f"text {i}")
+    before = {key: spark.conf.get(key, None) for key, _, _ in BATCH_SETTINGS}
+    try:
+        stream = SF.stream_files(spark, str(tmp_path / "files"), max_files=1).select("content")
+        writer = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        run = writer.trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert len([p for p in run.recentProgress if p.numInputRows]) == 12 and spark.read.parquet(str(tmp_path / "out")).count() == 12
+        names = [f.name for folder in ("cp/sources/0", "out/_spark_metadata") for f in (tmp_path / folder).iterdir()]
+        assert len(names) >= 24 and not any("compact" in name for name in names)
+        key, default, _ = BATCH_SETTINGS[0]
+        spark.conf.set(key, "1m")
+        small_batches(spark, local=True)
+        assert spark.conf.get(key) == "1m"
+        spark.conf.set(key, default)
+        small_batches(spark, local=True)
+        assert spark.conf.get(key) == "256k"
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_a_scan_reads_what_only_spark_opens(spark, tmp_path):
     (tmp_path / "a.txt").write_text("red")
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.grown.link./in", f"file://{tmp_path}")
