@@ -146,6 +146,23 @@ def test_parts_keep_their_order_where_tasks_write_to_all_of_them(spark, tmp_path
         assert len(files) >= 4 and all(x == sorted(x) for x in ids) and sum(map(len, ids)) == 300
 
 
+def test_parts_are_not_looked_for_where_a_batch_touches_all(spark, tmp_path, monkeypatch):
+    asked, plain = [], tables._numbers
+
+    def noted(rows):
+        asked.append(plain(rows))
+        return {*asked[-1]}
+
+    monkeypatch.setattr(tables, "_numbers", noted)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, n int")
+    table = tables.PartedTable(spark, str(tmp_path / "t"), "id string, n int", F.col("n") % 2, 2)
+    table.apply(rows(("a", 1), ("b", 2), ("c", 3)))
+    touched = spark.createDataFrame([(1,)], "part int")
+    assert table.apply(rows(("a", 4)), touched=touched) == 2 and asked == [{0}, {1}]
+    assert table.apply(rows(("b", 6), ("d", 7)), gone=rows(("c", 0)).select("id"), touched=touched) == 2 and asked[2:] == [{0, 1}]
+    assert sorted((r.id, r.n) for r in table.read().collect()) == [("a", 4), ("b", 6), ("d", 7)]
+
+
 def test_shuffles_go_with_their_query(spark):
     from doccat.session import SHUFFLES_DROPPED, shuffles_dropped
 
